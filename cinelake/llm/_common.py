@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,3 +133,13 @@ def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the long keys may be in the bitmap."""
     at = keys.astype(np.int64) % np.int64(len(bitmap) * 8)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def may_hold(bitmap):
+    """A vectorised test of a long column against a broadcast ``marks`` bitmap."""
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(marked(bitmap.value, keys.to_numpy()))
+
+    return test

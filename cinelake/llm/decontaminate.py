@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import byte_view, chunks, fresh, marked, marks, staged, text_key
+from ._common import byte_view, chunks, fresh, marks, may_hold, staged, text_key
 from ._words import ALNUM, FOLD, U, hash_spans, rows_of, spans
 
 WINDOW = 10
@@ -349,12 +349,7 @@ def without(docs: DataFrame, keys: DataFrame, key: str, of) -> DataFrame:
     for rows that a fixed-size bitmap of the keys rules out."""
     bitmap = docs.sparkSession.sparkContext.broadcast(marks(keys, key))
     k, maybe = fresh(docs, "row_key", "maybe")
-
-    @F.pandas_udf("boolean")
-    def may(x: pd.Series) -> pd.Series:
-        return pd.Series(marked(bitmap.value, x.to_numpy()))
-
-    keyed = docs.withColumn(k, of).withColumn(maybe, may(k))
+    keyed = docs.withColumn(k, of).withColumn(maybe, may_hold(bitmap)(k))
     other = keys.select(F.col(key).alias("other_key"))
     rest = keyed.filter(F.col(maybe))
     rest = rest.join(other, F.col(k) == F.col("other_key"), "left_anti")

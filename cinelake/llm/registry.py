@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, quality_rules, sharding, url_filters
-from .url_filters import OP4_SQL
+from .byte_bpe import op6_byte_bpe
+from .decontaminate import op8_decontamination
+from .license_scan import op5_license_scans
+from .line_dedup import op3_line_dedup
+from .lm_scoring import OP1_SQL, op1_lm_scoring
+from .ngram_join import op10_jaccard_join
+from .quality_rules import op9_quality_rules
+from .sharding import op2_sharding
+from .suffix_dedup import op7_suffix_dedup
+from .url_filters import OP4_SQL, op4_url_filters
 
 QUERIES = {
-    "op2_sharding": sharding.op2_sharding,
-    "op4_url_filters": url_filters.op4_url_filters,
-    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
-    "op8_decontamination": decontaminate.op8_decontamination,
-    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_url_filters": op4_url_filters,
+    "op5_license_scans": op5_license_scans,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL = {"op4_url_filters": OP4_SQL}
+ORACLE_SQL = {"op1_lm_scoring": OP1_SQL, "op4_url_filters": OP4_SQL}

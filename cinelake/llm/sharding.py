@@ -93,7 +93,8 @@ class Ranges:
 
     def even_cuts(self, capacity: int) -> list[int]:
         """Indexes of ranges that start shards 1, 2, ...: no shard above the
-        capacity, each as near to an equal share of the rest as that allows."""
+        capacity or empty before the ranges end, each as near to an equal share
+        of the rest as that allows."""
         ends = [len(self.ranges)]  # from the right: where the last k shards may start at the earliest
         for _ in range(self.shards - 1):
             ends.append(bisect_left(self.upto, self.upto[ends[-1]] - capacity))
@@ -104,7 +105,7 @@ class Ranges:
             if i > at and (i >= len(self.upto) or want - self.upto[i - 1] <= self.upto[i] - want):
                 i -= 1
             most = bisect_right(self.upto, self.upto[at] + capacity) - 1
-            at = max(at, min(max(i, ends[k]), most))
+            at = max(min(at + 1, len(self.ranges)), min(max(i, ends[k]), most))
             out.append(at)
         return out
 

@@ -8,8 +8,9 @@ repeated ids and repeated rows pass through. An empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinelake.llm import byte_bpe, decontaminate, quality_rules
+from cinelake.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from cinelake.llm._common import staged
 
 
@@ -18,6 +19,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that are left of them, and their new length; those
+    that lose every line with a word are dropped."""
+    out = line_dedup.dedup_lines(docs)
+    removed = F.col(out.columns[-1])
+    out = out.filter((removed == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(removed == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates."""
+    return ngram_join.keep_first(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -25,14 +42,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts that are left, with their counts."""
-    from pyspark.sql import functions as F
-
     ids = byte_bpe.encode(docs.select("doc_id", "text"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
     ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("byte-level BPE", encoding),
 ]
