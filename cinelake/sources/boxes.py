@@ -133,7 +133,7 @@ def stsz(body: Column) -> Column:
     """Sample sizes; a common size is repeated."""
     common, n = uint(body, 4, 4), uint(body, 8, 4)
     each = F.transform(_table(body, 8, 4, {"size": (0, 4)}), lambda x: x["size"])
-    return F.when(common > 0, F.when(n > 0, F.array_repeat(common, n.cast("int"))).otherwise(F.array())).otherwise(each)
+    return F.when((common > 0) & (F.octet_length(body) == 12), F.array_repeat(common, F.least(n, F.lit(2**31 - 16)).cast("int"))).otherwise(each)
 
 
 def stco(body: Column) -> Column:
@@ -163,7 +163,8 @@ def samples(rows: DataFrame, files: DataFrame, timescale: int | None = None) ->
 
     b, key = F.col("body"), ["file_id", "track"]
     t = in_tracks(rows)
-    one = lambda kind, value: t.filter(F.col("box_type") == kind).select(*key, value.alias("v"))
+    # guarded, since an inferred filter may try the value on other boxes too
+    one = lambda kind, value: t.filter(F.col("box_type") == kind).select(*key, F.when(F.col("box_type") == kind, value).alias("v"))
     sizes = one("stsz", stsz(b)).select(*key, F.posexplode("v").alias("idx", "size"))
     chunks = one("stco", stco(b)).unionByName(one("co64", co64(b))).select(*key, F.posexplode("v").alias("c", "chunk_offset"))
     chunks = chunks.select(*key, (F.col("c") + 1).cast("bigint").alias("chunk"), "chunk_offset")
