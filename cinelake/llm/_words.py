@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=64)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, U)
     out[0] = 1
