@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._common import partitions, staged
@@ -36,9 +36,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        e = staged(small.filter("a != b").distinct(), "edges")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == state:
+        seen = Observation()
+        digest = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        e = staged(small.filter("a != b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("h")), "edges")
+        now = seen.get
+        if now == state or not now["n"]:
             break
         state = now
     else:
