@@ -55,12 +55,14 @@ def units(members: DataFrame, group: str, node: str, size: str, budget: int) ->
 
     A group whose sizes sum to more than ``budget`` is dealt by hash into blocks
     of about that size; a unit is a block, or a pair of blocks. ``blocks`` is the
-    number of blocks of the group.
+    number of blocks of the group. Only large groups are joined with their number,
+    from a table of their own, so that the join may be split or broadcast by size.
     """
-    total = members.groupBy(group).agg(F.ceil(F.sum(size) / budget).cast("int").alias("blocks"))
+    large = staged(members.groupBy(group).agg(F.ceil(F.sum(size) / budget).cast("int").alias("blocks")).filter("blocks > 1"), "large")
     own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
     return (
-        members.join(total, group)
+        members.join(large, group, "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("unit", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")))
