@@ -225,6 +225,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     result = sets.select("set_id", "copies").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").join(count, "set_id", "left")
     result = result.select("set_id", F.coalesce("root", "set_id").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    result = staged(result, "result")  # so that the join with a hot set's documents can be split
     each = staged(found.select("doc_key", "doc_id", "set_id").join(result, "set_id", "left"), "classes")
     name = each.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("f"))
     return each.join(name, "class", "left").select(
