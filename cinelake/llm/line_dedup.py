@@ -275,6 +275,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = grouped.groupBy("root").agg(F.min("place").alias("keep"))
     grouped = grouped.join(first, "root").select("line", "keep")
     kept = distinct.join(grouped, "line", "left").filter("n > 1 or keep is not null").select("line", F.coalesce("keep", "place").alias("keep"))
+    kept = staged(kept, "kept")  # so that the join with a hot line's occurrences can be split
     here = (F.col("doc_key") == F.col("keep.doc_key")) & (F.col("line_no") == F.col("keep.line_no"))
     gone = lines.join(kept, "line").filter(~here).select("doc_key", "line_no")
     return staged(gone.groupBy("doc_key").agg(F.collect_set("line_no").alias("gone")), "gone")
