@@ -14,10 +14,12 @@ pair of the inventory, so that a document's score is a sum of looked-up weights.
 
 Counts cover all documents and grow with them: each task sends one row for each
 distinct pair of a few million tokens, and counts are summed after one shuffle.
-Words and pairs with fewer than ``MIN_COUNT`` occurrences are not in the model.
-The weights are broadcast while they are at most ``MODEL_ROWS`` (128 MB); a larger
-model is joined with each document's distinct features instead. Both ways give
-the same scores.
+Words and pairs with fewer than ``MIN_COUNT`` occurrences, or under a share of
+``MIN_SHARE`` of all tokens, are not in the model. So many words and so many pairs
+can have that share, 1 / ``MIN_SHARE`` each, which bounds the weights at any size
+of corpus to ``MODEL_ROWS`` (128 MB), and they are broadcast. With a lower share
+given, a larger model is joined with each document's distinct features instead.
+Both ways give the same scores.
 
 Defined results: words are runs of letters and digits of any script, A-Z folded;
 a null text or one without words has 0 tokens and a null score; repeated rows
@@ -29,6 +31,7 @@ there; an empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -40,6 +43,7 @@ from ._common import byte_view, chunks, marks, may_hold, partitions, staged
 from ._words import ALNUM, FOLD, U, hash_spans, mix, rows_of, spans
 
 MIN_COUNT = 5
+MIN_SHARE = 2.5e-7
 MU, ALPHA = 100.0, 1.0
 MODEL_ROWS = 8_000_000
 #: Tokens counted together before their rows are sent.
@@ -120,7 +124,7 @@ class Model:
     unknown: float
 
 
-def train(docs: DataFrame, text_col: str = "text", target_col: str = "target") -> Model:
+def train(docs: DataFrame, text_col: str = "text", target_col: str = "target", min_share: float = MIN_SHARE) -> Model:
     """Weights of the log-ratio target : background."""
     spark = docs.sparkSession
     counts = count_pairs(docs, text_col, target_col).repartition(partitions(spark), "word", "before")
@@ -128,7 +132,10 @@ def train(docs: DataFrame, text_col: str = "text", target_col: str = "target") -
     counts = staged(counts.filter(F.col("before").isNull() | (F.col("n") >= MIN_COUNT)), "counts")
     words, often = counts.filter("before is null").drop("before"), counts.filter("before is not null")
     edge = int(np.array([EDGE]).astype(np.int64)[0])
-    known = (F.col("n") >= MIN_COUNT) | (F.col("word") == edge)
+    tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(MIN_COUNT, ceil(min_share * tokens))
+    often = often.filter(F.col("n") >= least)
+    known = (F.col("n") >= least) | (F.col("word") == edge)
     words = words.withColumn("known", known)
     total = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("nt"), F.lit(0)).alias("nt"),
@@ -259,7 +266,8 @@ WITH d AS (
 k AS (
   SELECT doc_id, t, unnest(list_append(w, '')) AS w, unnest(list_prepend('', w)) AS h FROM d WHERE len(w) > 0),
 pair AS (SELECT h, w, count(*)::DOUBLE AS n, count(*) FILTER (t)::DOUBLE AS nt FROM k GROUP BY ALL),
-word AS (SELECT w, sum(n) AS n, sum(nt) AS nt, sum(n) >= 5 OR w = '' AS known FROM pair GROUP BY w),
+lim AS (SELECT greatest(5, ceil(2.5e-7 * sum(n))) AS least FROM pair),
+word AS (SELECT w, sum(n) AS n, sum(nt) AS nt, sum(n) >= (SELECT least FROM lim) OR w = '' AS known FROM pair GROUP BY w),
 tot AS (
   SELECT sum(n) AS n, sum(nt) AS nt, coalesce(sum(n) FILTER (NOT known), 0) AS un, coalesce(sum(nt) FILTER (NOT known), 0) AS unt,
          count(*) FILTER (known) + 1 AS v FROM word),
@@ -269,7 +277,7 @@ wt AS (
   SELECT w, known, (ct + 1) / (tnt + v) AS pt, (c + 1) / (tn + v) AS pb,
          ln((ct + 1) / (tnt + v)) - ln((c + 1) / (tn + v)) - ln(ct + 100) + ln(c + 100) AS weight FROM ww),
 pt AS (
-  SELECT h, w, ln(1 + nt / (100 * pt)) - ln(1 + n / (100 * pb)) AS fix FROM pair JOIN wt USING (w) WHERE n >= 5 AND known),
+  SELECT h, w, ln(1 + nt / (100 * pt)) - ln(1 + n / (100 * pb)) AS fix FROM pair JOIN wt USING (w) WHERE n >= (SELECT least FROM lim) AND known),
 s AS (
   SELECT doc_id, count(*) - 1 AS n_tokens, -sum(weight + coalesce(fix, 0)) / count(*) AS x
   FROM k JOIN wt USING (w) LEFT JOIN pt USING (h, w) GROUP BY doc_id)

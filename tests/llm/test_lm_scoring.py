@@ -8,7 +8,7 @@ from cinelake.llm.lm_scoring import score, train, with_target
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def brute(docs, chosen):
+def brute(docs, chosen, least=5):
     words = {i: re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in docs}
     pair, word = (Counter(), Counter()), (Counter(), Counter())
     for i, w in words.items():
@@ -16,14 +16,14 @@ def brute(docs, chosen):
             for h, x in zip(["", *w], [*w, ""], strict=True) if w else ():
                 pair[m][h, x] += 1
                 word[m][x] += 1
-    known = {x for x, n in word[0].items() if n >= 5 or x == ""}
+    known = {x for x, n in word[0].items() if n >= least or x == ""}
     rare = [sum(n for x, n in word[m].items() if x not in known) for m in (0, 1)]
     total = [sum(word[m].values()) for m in (0, 1)]
     c = lambda m, x: word[m][x] if x in known else rare[m]
     p1 = lambda m, x: (c(m, x) + 1) / (total[m] + len(known) + 1)
 
     def loss(m, h, x):
-        n = pair[m][h, x] if pair[0][h, x] >= 5 else 0
+        n = pair[m][h, x] if pair[0][h, x] >= least else 0
         return -math.log((n + 100 * p1(m, x)) / (c(m, h) + 100))
 
     out = {}
@@ -61,6 +61,14 @@ def test_scores_equal_brute_force_both_ways(spark):
     assert max(held_out[::3]) < 0 < min(x for k, x in enumerate(held_out) if k % 3)
 
 
+def test_least_share_bounds_the_model(spark):
+    docs, chosen, df, ids = case(spark)
+    tokens = sum(n + 1 for n, x in brute(docs, chosen).values() if x is not None)
+    model = train(with_target(df, ids), min_share=12 / tokens)
+    close(score(df, model), brute(docs, chosen, 12))
+    assert model.rows <= 2 * tokens / 12 + 1
+
+
 def test_repeated_rows_and_empty_tables(spark):
     _, _, df, ids = case(spark)
     twice = df.union(df.filter("doc_id < 5"))
