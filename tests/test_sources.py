@@ -126,3 +126,15 @@ def test_scalars(spark):
     assert value(text.fixed(s(1.005), 2)) == "1.00" and value(text.fixed(s(0.125), 2)) == "0.12"
     assert value(text.save_name(F.timestamp_seconds(s(86400)))) == "19700102_86400"
     assert value(text.base_url(s("http://h/a/b.m3u8?x=/y#z"))) == "http://h/a/" and value(text.directory(s("x"))) == "/"
+
+
+def test_exact_decimals(spark):
+    rng = random.Random(1)
+    values = [0.0, 0.125, 0.375, 0.005, 0.015, 1.005, 2.5, 3.5, 0.5, 1.5, 999.995, 0.995, 1e-9, 1e-30, 5e-324, 123456789.125, 8.99e15, 1e15 + 0.5, -0.125, -1.005, -0.001, 29.97, 23.976]
+    values += [rng.uniform(0, 10 ** rng.randint(-4, 12)) for _ in range(2000)] + [round(rng.uniform(0, 1000), 3) for _ in range(2000)] + [rng.randrange(10**6) / 8 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2):
+        got = [r[0] for r in df.select(text.fixed(F.col("v"), digits)).collect()]
+        bad = [(v, g) for v, g in zip(values, got, strict=True) if g != f"{v:.{digits}f}"]
+        assert not bad, bad[:5]
+    assert spark.sql("select cast(null as double) v").select(text.fixed(F.col("v"), 2)).first()[0] is None
