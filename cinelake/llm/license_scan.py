@@ -153,3 +153,40 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.coalesce("lang", F.lit("unknown")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")), F.lit(".txt"))
     return scan(docs.select(path.alias("path"), F.col("doc_id").alias("key"), "text")).withColumnRenamed("key", "doc_id")
+
+
+def _op5_sql() -> str:
+    """The query in DuckDB's SQL, with the same templates and limits."""
+    given = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+    return rf"""
+WITH f AS (SELECT doc_id, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'unknown') || '.txt' AS path, text FROM documents),
+p AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS words FROM f),
+ln AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{HEADER_LINE}'))) AS line FROM f WHERE regexp_matches(text, '{HEADER_LINE}')),
+h AS (SELECT doc_id, regexp_extract_all(lower(line), '[a-z0-9]+') AS terms FROM ln),
+d AS (SELECT array_to_string(terms, ' ') AS st, any_value(terms) AS terms, count(*) AS n FROM h WHERE len(terms) > 0 GROUP BY 1),
+t AS (SELECT i, license, regexp_extract_all(lower(s), '[a-z0-9]+') AS terms FROM (VALUES {given}) v(i, license, s)),
+df AS (SELECT term, sum(n) AS df FROM (SELECT unnest(list_distinct(terms)) AS term, n FROM d) GROUP BY term),
+idf AS (
+  SELECT term, ln(((SELECT coalesce(sum(n), 0) FROM d) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
+  FROM (SELECT DISTINCT unnest(terms) AS term FROM t) FULL JOIN df USING (term)),
+ta AS (SELECT st, term, count(*) * any_value(idf) AS w FROM (SELECT st, unnest(terms) AS term FROM d) JOIN idf USING (term) GROUP BY ALL),
+tb AS (SELECT i, license, term, count(*) * any_value(idf) AS w FROM (SELECT i, license, unnest(terms) AS term FROM t) JOIN idf USING (term) GROUP BY ALL),
+na AS (SELECT st, sqrt(sum(w * w)) AS n FROM ta GROUP BY st),
+nb AS (SELECT i, sqrt(sum(w * w)) AS n FROM tb GROUP BY i),
+cs AS (SELECT st, i, license, sum(ta.w / na.n * tb.w / nb.n) AS c FROM ta JOIN tb USING (term) JOIN na USING (st) JOIN nb USING (i) GROUP BY ALL),
+best AS (SELECT st, min((-round(c, 9), license)) AS b FROM cs GROUP BY st),
+cl AS (SELECT st, b[2] AS license, -b[1] AS cosine FROM best WHERE -b[1] >= {MIN_COSINE}),
+own AS (
+  SELECT doc_id, min((-cosine, license)) AS b, sum(len(terms)) AS header_words
+  FROM h JOIN cl ON st = array_to_string(terms, ' ') GROUP BY doc_id),
+held AS (SELECT path, doc_id, dir, words, b[2] AS own_license, -b[1] AS cosine, header_words FROM p LEFT JOIN own USING (doc_id)),
+st AS (SELECT dir AS above, min((-cosine, own_license, path))[2] AS dir_license FROM held WHERE own_license IS NOT NULL AND header_words >= {MOSTLY} * words GROUP BY dir),
+up AS (
+  SELECT DISTINCT dir, unnest(['', regexp_extract(dir, '^/[^/]*'), dir]) AS above FROM p),
+near AS (SELECT dir, max((length(above), above, dir_license)) AS s FROM up JOIN st USING (above) GROUP BY dir)
+SELECT path, doc_id, own_license, round(cosine, 6) AS cosine, coalesce(own_license, s[3]) AS license, CASE WHEN own_license IS NULL THEN s[2] END AS inherited_from
+FROM held LEFT JOIN near USING (dir)
+"""
+
+
+OP5_SQL = _op5_sql()

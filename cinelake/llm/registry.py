@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op6_byte_bpe
 from .decontaminate import op8_decontamination
-from .license_scan import op5_license_scans
+from .license_scan import OP5_SQL, op5_license_scans
 from .line_dedup import op3_line_dedup
 from .lm_scoring import OP1_SQL, op1_lm_scoring
 from .ngram_join import op10_jaccard_join
@@ -90,6 +90,7 @@ SELECT doc_id, min(r) AS class_id, (SELECT count(*) FROM link WHERE x = reach.do
 ORACLE_SQL = {
     "op1_lm_scoring": OP1_SQL,
     "op4_url_filters": OP4_SQL,
+    "op5_license_scans": OP5_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_jaccard_join": OP10_SQL,
