@@ -87,10 +87,29 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT link.y, reach.r F
 SELECT doc_id, min(r) AS class_id, (SELECT count(*) FROM link WHERE x = reach.doc_id) AS n_links FROM reach GROUP BY doc_id
 """
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, hash(b[i + 1:i + 200]) AS h FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d)),
+r AS (
+  SELECT doc_id, i, lag(i) OVER o AS p, lead(i) OVER o AS n FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR p + 200 < i THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM r),
+run AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY ALL),
+m AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last FROM run GROUP BY doc_id),
+k AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM run
+  UNION ALL SELECT doc_id, last, octet_length(b) FROM m JOIN d USING (doc_id)),
+t AS (SELECT doc_id, string_agg(hex(b[x + 1:y]), '' ORDER BY x) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_lm_scoring": OP1_SQL,
     "op4_url_filters": OP4_SQL,
     "op5_license_scans": OP5_SQL,
+    "op7_suffix_dedup": OP7_SQL,
     "op8_decontamination": OP8_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_jaccard_join": OP10_SQL,
