@@ -84,6 +84,17 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, gone string").repartition(3)
 
 
+def test_bit_sums_both_ways():
+    rng = np.random.default_rng(1)
+    h, group = rng.integers(0, 2**64, 140_000, np.uint64), np.repeat([0, 2, 3], [70_000, 100, 69_900])
+    for keep in (slice(None), slice(69_950, None)):  # with a group over 65535, and without
+        count, sums = line_dedup._bit_sums(h[keep], group[keep], 5)
+        for g in range(5):
+            own = np.unique(h[keep][group[keep] == g])
+            assert count[g] == len(own)
+            assert [int((own >> np.uint64(b) & np.uint64(1)).sum()) for b in range(64)] == sums[g].tolist()
+
+
 def test_equals_brute_force(spark):
     docs = case()
     want, n = brute(docs)
