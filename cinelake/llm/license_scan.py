@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import staged
+
 #: Short public statements and first sentences of the licences' texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -115,7 +117,7 @@ def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     ``files`` has ``path``, ``key`` (any id, distinct for distinct files) and
     ``text``; it is read twice, for headers and for the result.
     """
-    lines = header_lines(files)
+    lines = staged(header_lines(files), "headers")  # a few lines a file, used several times
     found = lines.withColumn("statement", F.array_join("terms", " ")).join(
         classify_lines(lines, templates).withColumnRenamed("text", "statement"), "statement"
     )
