@@ -35,6 +35,8 @@ def compare(df, sql, sf_dir):
     result = connect(sf_dir).sql(sql)
     want = rows_of(result.columns, result.fetchall())
     assert sorted(df.columns) == sorted(result.columns)
-    only = [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
-    assert got == want, f"{len(got)} and {len(want)} rows; only in one: {only}"
+    if got != want:
+        one, other = set(got), set(want)
+        only = [x for x in got if x not in other][:3], [x for x in want if x not in one][:3]
+        raise AssertionError(f"{len(got)} and {len(want)} rows; only in one: {only}")
     return got
