@@ -14,12 +14,11 @@ pair of the inventory, so that a document's score is a sum of looked-up weights.
 
 Counts cover all documents and grow with them: each task sends one row for each
 distinct pair of a few million tokens, and counts are summed after one shuffle.
-Words and pairs with fewer than ``MIN_COUNT`` occurrences, or under a share of
-``MIN_SHARE`` of all tokens, are not in the model. So many words and so many pairs
-can have that share, 1 / ``MIN_SHARE`` each, which bounds the weights at any size
-of corpus to ``MODEL_ROWS`` (128 MB), and they are broadcast. With a lower share
-given, a larger model is joined with each document's distinct features instead.
-Both ways give the same scores.
+Words and pairs with fewer than ``MIN_COUNT`` occurrences are not in the model;
+the limit is the same at any size of corpus, so the model grows with its input.
+The weights are broadcast while they are at most ``MODEL_ROWS`` (128 MB); a larger
+model is joined with each document's distinct features instead. Both ways give
+the same scores. A caller may ask for a least share of all tokens besides.
 
 Defined results: words are runs of letters and digits of any script, A-Z folded;
 a null text or one without words has 0 tokens and a null score; repeated rows
@@ -43,7 +42,6 @@ from ._common import byte_view, chunks, marks, may_hold, partitions, staged
 from ._words import ALNUM, FOLD, U, hash_spans, mix, rows_of, spans
 
 MIN_COUNT = 5
-MIN_SHARE = 2.5e-7
 MU, ALPHA = 100.0, 1.0
 MODEL_ROWS = 8_000_000
 #: Tokens counted together before their rows are sent.
@@ -124,7 +122,7 @@ class Model:
     unknown: float
 
 
-def train(docs: DataFrame, text_col: str = "text", target_col: str = "target", min_share: float = MIN_SHARE) -> Model:
+def train(docs: DataFrame, text_col: str = "text", target_col: str = "target", min_share: float = 0.0) -> Model:
     """Weights of the log-ratio target : background."""
     spark = docs.sparkSession
     counts = count_pairs(docs, text_col, target_col).repartition(partitions(spark), "word", "before")

@@ -77,3 +77,11 @@ def test_repeated_rows_and_empty_tables(spark):
     empty = train(with_target(df.limit(0), ids))
     assert score(df.limit(0), empty).count() == 0
     assert score(df, empty).count() == df.count()
+
+
+def test_model_grows_with_its_input(spark):
+    """At 24 million tokens a word and a pair of 5 occurrences are still known."""
+    filler = spark.range(60).selectExpr("id as doc_id", "repeat('x ', 400000) as text", "false as target")
+    rare = spark.createDataFrame([(100 + i, "seldom seen", True) for i in range(5)], "doc_id long, text string, target boolean")
+    model = train(filler.unionByName(rare).repartition(8))
+    assert model.rows == 4 + 6  # x, seldom, seen and the edge; three pairs of either text
