@@ -67,11 +67,24 @@ def counter_block(iv: Column, i: Column) -> Column:
     return F.unhex(F.concat(text(half(1) + carry), text(low)))
 
 
+@F.pandas_udf(T.BinaryType())
+def _counters(n: pd.Series, iv: pd.Series) -> pd.Series:
+    """The counter blocks ``iv``, ``iv + 1`` and so on, for ``n`` bytes."""
+
+    def one(size, start):
+        if start is None or pd.isna(size):
+            return None
+        high, first = (int(x) for x in np.frombuffer(bytes(start).ljust(16, b"\0")[:16], ">u8"))
+        low = np.arange(max(-(-int(size) // 16), 1), dtype=np.uint64) + np.uint64(first)
+        carried = (low < np.uint64(first)).astype(np.uint64)
+        return np.stack([carried + np.uint64(high), low], axis=1).astype(">u8").tobytes()
+
+    return pd.Series([one(x, y) for x, y in zip(n, iv, strict=True)], dtype=object)
+
+
 def key_stream(n: Column, key: Column, iv: Column) -> Column:
-    """At least ``n`` bytes of AES-CTR key stream."""
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(n / 16).cast("bigint") - 1, F.lit(0).cast("bigint")))
-    block = lambda i: F.substring(F.aes_encrypt(counter_block(iv, i), key, F.lit("ECB"), F.lit("PKCS")), F.lit(1), F.lit(16))
-    return F.aggregate(F.transform(blocks, block), F.lit(b""), lambda acc, b: F.concat(acc, b))
+    """At least ``n`` bytes of AES-CTR key stream: all counters encrypted at once."""
+    return F.aes_encrypt(_counters(n, iv), key, F.lit("ECB"), F.lit("PKCS"))
 
 
 def aes_ctr(data: Column, key: Column, iv: Column) -> Column:
