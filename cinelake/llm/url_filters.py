@@ -93,10 +93,9 @@ def _rho(units: DataFrame, parents: DataFrame, unit: str, parent: str, how: Repu
     return u.crossJoin(p).select((1 / rho - 1).alias(f"k_{unit}"))  # one row each
 
 
-def host_reputation(outcomes: DataFrame, how: Reputation | None = None) -> tuple[DataFrame, DataFrame]:
-    """Posterior of each host seen in ``outcomes`` (``host``, ``bad`` 0 or 1), and
-    the one-row table with the rate of all pages and the prior strengths."""
-    how = how or Reputation()
+def _rates(outcomes: DataFrame, how: Reputation) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Hosts with their counts, shrunk rates of domains and of suffixes, and the
+    one-row table with the rate of all pages and the prior strengths."""
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -114,25 +113,50 @@ def host_reputation(outcomes: DataFrame, how: Reputation | None = None) -> tuple
     d = domains.join(s, "suffix").select(
         "domain", "k_host", ((F.col("bad") + F.col("k_domain") * F.col("suffix_rate")) / (F.col("n") + F.col("k_domain"))).alias("domain_rate")
     )
+    return hosts, d, s, strength
+
+
+def _bounded(rows: DataFrame, how: Reputation) -> DataFrame:
+    """Posterior rate and its lower bound from ``n``, ``bad``, ``k_host`` and the prior ``domain_rate``."""
     a = F.col("bad") + F.col("k_host") * F.col("domain_rate")
     b = F.col("n") - F.col("bad") + F.col("k_host") * (1 - F.col("domain_rate"))
     mean, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    posterior = hosts.join(d, "domain").select("host", "n", "bad", mean.alias("bad_rate"), (mean - how.z * sd).alias("bad_bound"))
-    return posterior, strength
+    return rows.select("host", "n", "bad", mean.alias("bad_rate"), (mean - how.z * sd).alias("bad_bound"))
+
+
+def host_reputation(outcomes: DataFrame, how: Reputation | None = None) -> tuple[DataFrame, DataFrame]:
+    """Posterior of each host seen in ``outcomes`` (``host``, ``bad`` 0 or 1), and
+    the one-row table with the rate of all pages and the prior strengths."""
+    how = how or Reputation()
+    hosts, d, _, strength = _rates(outcomes, how)
+    return _bounded(hosts.join(d, "domain"), how), strength
+
+
+def unseen_hosts(hosts: DataFrame, outcomes: DataFrame, how: Reputation | None = None) -> DataFrame:
+    """The same for those of ``hosts`` that ``outcomes`` lacks: no evidence of their
+    own, and the rate of the domain, else the suffix, else all pages as prior."""
+    how = how or Reputation()
+    seen, d, s, strength = _rates(outcomes, how)
+    rows = hosts.select("host").distinct().join(seen.select("host"), "host", "left_anti")
+    rows = rows.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
+    rows = rows.join(d.select("domain", "domain_rate"), "domain", "left").join(s.select("suffix", "suffix_rate"), "suffix", "left")
+    rows = rows.crossJoin(F.broadcast(strength.select("k_host", "rate"))).withColumn("domain_rate", F.coalesce("domain_rate", "suffix_rate", "rate"))
+    return _bounded(rows.withColumn("n", F.lit(0)).withColumn("bad", F.lit(0)), how)
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputation | None = None) -> DataFrame:
     """Verdict for each page (``page_id``, ``url``); ``outcomes`` has the labelled
-    pages' ``host`` and ``bad``. A host without labels is allowed by the method:
-    nothing but its prior speaks against it."""
+    pages' ``host`` and ``bad``. A host without labels is judged by the bound of its
+    prior; ``bad_bound`` is null for it, as it is no host's own."""
     how = how or Reputation()
     posterior, _ = host_reputation(outcomes, how)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > how.max_bad, "block").otherwise("allow")
-    return rows.join(posterior, "host", "left").select(
+    every = posterior.unionByName(unseen_hosts(rows, outcomes, how))
+    return rows.join(every, "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"),
-        F.coalesce("n", F.lit(0)).alias("host_labels"), F.coalesce("bad", F.lit(0)).alias("host_bad"), F.round("bad_bound", 6).alias("bad_bound"),
+        F.coalesce("n", F.lit(0)).alias("host_labels"), F.coalesce("bad", F.lit(0)).alias("host_bad"), F.when(F.col("n") > 0, F.round("bad_bound", 6)).alias("bad_bound"),
     )
 
 

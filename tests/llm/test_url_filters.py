@@ -1,6 +1,6 @@
 import math
 
-from cinelake.llm.url_filters import host_of, host_reputation, judge, path_of
+from cinelake.llm.url_filters import host_of, host_reputation, judge, path_of, unseen_hosts
 from pyspark.sql import functions as F
 
 URLS = [
@@ -44,3 +44,18 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert judge(pages, spark.createDataFrame([("a.b", 1)], "host string, bad int")).count() == 0
     assert pages.select(host_of(F.col("url")), path_of(F.col("url"))).count() == 0
+
+
+def test_unseen_hosts_are_judged_by_their_prior(spark):
+    rows = [(f"h{i}.spam.org", 1) for i in range(200) for _ in range(5)] + [(f"h{i}.fine.org", 0) for i in range(200) for _ in range(5)]
+    rows += [(f"h{i}.d{i}.biz", 1) for i in range(200) for _ in range(5)]
+    rows += [(f"h{i}.mix{j}.net", int(k < 3)) for i in range(20) for j in range(4) for k in range(10)]
+    urls = ["http://x.spam.org/a", "http://x.fine.org/a", "http://x.other.biz/a", "http://h0.spam.org/a", "http://x.fine.zz/a"]
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    got = {r.page_id: r for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), outcomes).collect()}
+    assert [got[i].verdict for i in range(4)] == ["block", "allow", "block", "block"]
+    assert got[0].host_labels == 0 and got[0].bad_bound is None
+    p = {r.host: r for r in unseen_hosts(spark.createDataFrame([("x.fine.zz",), ("h0.spam.org",)], "host string"), outcomes).collect()}
+    assert p.keys() == {"x.fine.zz"}
+    assert math.isclose(p["x.fine.zz"].bad_rate, sum(b for _, b in rows) / len(rows))
+    assert (got[4].verdict == "block") == (p["x.fine.zz"].bad_bound > 0.3)
