@@ -1,18 +1,20 @@
 """License scans: TF-IDF cosine to templates, then inheritance from directories.
 
-A file's header is made of its lines that speak of licensing. Header lines, and
-a licence file's text as a whole, become sparse vectors of term counts times
-inverse document frequency; the frequencies count all header lines of all files.
-The cosine to each template comes from an equi-join on terms with the templates'
-postings, a table bounded by the stated templates. The best template at or above
-a limit is the line's licence, the best line's the file's own.
+A file's header is made of its lines that speak of licensing. Header lines, runs
+of adjacent lines around them (a notice wrapped over lines), and a licence file's
+text as a whole, become sparse vectors of term counts times inverse document
+frequency; the frequencies count all header lines of all files. The cosine to
+each template comes from an equi-join on terms with the templates' postings, a
+table bounded by the stated templates. The best template at or above a limit is
+the text's licence, the best text's the file's own. Runs that by their bounds
+cannot reach the limit, or a line of their own, are not sent to the join.
 
 A licence file is one whose name says so, or whose header lines make up most of
 it. It states the licence of its directory; a file without a licence of its own
 takes the one of the nearest directory above it: each distinct directory is
 joined, by path, with its ancestors' licences, and files join directories.
 
-Only header lines are exploded, never texts; a directory with a third of all
+Only header lines, runs and licence files are exploded, never other texts; a directory with a third of all
 files is one row on the other side of a plain equi-join, which adaptive execution
 may split or broadcast by its size.
 
@@ -24,8 +26,14 @@ rows. Other columns are dropped.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import staged
 
@@ -56,7 +64,11 @@ TEMPLATES = (
 
 HEADER_LINE = r"(?i)licen[cs]|copyright|spdx-|public domain|permission is|permission to|redistribut"
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
+#: The same where a line may end between two words.
+WRAPPED = r"(?i)licen[cs]|copyright|spdx-|public[^A-Za-z0-9]+domain|permission[^A-Za-z0-9]+(is|to)|redistribut"
 MIN_COSINE = 0.6
+#: Words of a run of lines, in those of the longest template.
+LONGEST = 3
 #: Share of a file's words in header lines from which it is a licence file.
 MOSTLY = 0.5
 
@@ -89,42 +101,142 @@ def _weighted(rows: DataFrame, by: list[str], idf: DataFrame) -> DataFrame:
     return w.join(norm, by).select(*by, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def classify_lines(lines: DataFrame, templates=TEMPLATES) -> DataFrame:
+def _frequencies(lines: DataFrame, given: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``term``, ``idf`` of the terms of header lines, templates and ``more``."""
+    total = lines.agg(F.count("*").alias("total"))
+    distinct = lines.groupBy("terms").agg(F.count("*").alias("n"))
+    seen = distinct.select(F.explode(F.array_distinct("terms")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("df"))
+    known = given.select(F.explode("terms").alias("term"))
+    if more is not None:
+        known = known.unionByName(more.select(F.explode("terms").alias("term")))
+    known = known.distinct().join(seen, "term", "full")
+    return known.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
+
+
+def _templates(spark: SparkSession, templates) -> DataFrame:
+    given = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, statement string")
+    return given.select("template", "license", terms(F.col("statement")).alias("terms"))
+
+
+def classify_lines(lines: DataFrame, templates=TEMPLATES, more: DataFrame | None = None) -> DataFrame:
     """The best licence of each distinct header text: ``text``, ``license``, ``cosine``.
 
     Texts are compared as term sequences, each once however often it occurs; the
-    frequencies count every occurrence.
+    frequencies count every occurrence. ``more`` has the ``terms`` of texts that are
+    classified too, but not counted.
     """
-    spark = lines.sparkSession
-    given = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "template int, license string, statement string")
-    given = given.select("template", "license", terms(F.col("statement")).alias("terms"))
-    distinct = lines.groupBy("terms").agg(F.count("*").alias("n")).withColumn("text", F.array_join("terms", " "))
-    total = lines.agg(F.count("*").alias("total"))
-    seen = distinct.select(F.explode(F.array_distinct("terms")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("df"))
-    known = given.select(F.explode("terms").alias("term")).distinct().join(seen, "term", "full")
-    idf = known.crossJoin(F.broadcast(total)).select("term", (F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
-    a = _weighted(distinct, ["text"], idf)
+    given = _templates(lines.sparkSession, templates)
+    idf = _frequencies(lines, given, more)
+    texts = lines.select("terms") if more is None else lines.select("terms").unionByName(more.select("terms"))
+    a = _weighted(texts.distinct().withColumn("text", F.array_join("terms", " ")), ["text"], idf)
     b = _weighted(given, ["template", "license"], idf).withColumnRenamed("w", "v")
     cosine = a.join(F.broadcast(b), "term").groupBy("text", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
     best = cosine.groupBy("text").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "license")).alias("b"))
     return best.select("text", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")).filter(F.col("cosine") >= MIN_COSINE)
 
 
+def _runs(path: str | None, text: str, vectors: list[dict[str, float]], idf: dict[str, float], most: float, longest: int) -> list[list[str]]:
+    """Terms of the runs of lines of a file, and of a licence file's whole text, that
+    may have a licence none of their lines has. ``idf`` has the templates' terms,
+    ``most`` is the largest of any term; the least is 1."""
+
+    def bounds(words):
+        tf = Counter(words)
+        own = sum((n * idf[w]) ** 2 for w, n in tf.items() if w in idf)
+        rest = sum(n * n for w, n in tf.items() if w not in idf)
+        dot = max(sum(n * idf[w] * v[w] for w, n in tf.items() if w in v) for v in vectors)
+        return dot / sqrt(own + rest * most * most), dot / sqrt(own + rest)
+
+    lines = text.split("\n")
+    words = [re.findall("[a-z0-9]+", x.lower()) for x in lines]
+    ends, at = [], -1
+    for x in lines:
+        at += len(x) + 1
+        ends.append(at)
+    marked, k = set(), 0
+    for m in re.finditer(WRAPPED, text):
+        while ends[k] < m.start():
+            k += 1
+        last = k
+        while ends[last] < m.end() - 1:
+            last += 1
+        marked |= set(range(k, last + 1))
+    alone = {k: bounds(words[k])[0] if words[k] and re.search(HEADER_LINE, lines[k]) else 0.0 for k in marked}
+    found = {}
+    for k in sorted(marked):
+        first, before = k, 0
+        while True:
+            last, size, best = first, 0, 0.0
+            while last < len(lines) and words[last]:
+                size += len(words[last])
+                best = max(best, alone.get(last, 0.0))
+                if last > first and size > longest:
+                    break
+                if last >= k and last > first and (first, last) not in found:
+                    run = [w for x in words[first : last + 1] for w in x]
+                    high = bounds(run)[1] + 1e-9
+                    found[first, last] = run if high >= MIN_COSINE and high > best + 2e-9 else None
+                last += 1
+            first -= 1
+            if first < 0 or not words[first]:
+                break
+            before += len(words[first])
+            if before > longest:
+                break
+    out = [x for x in found.values() if x]
+    whole = [w for x in words for w in x]
+    named = path is not None and re.search(LICENSE_NAME, path.rsplit("/", 1)[-1])
+    if sum(map(bool, words)) > 1 and (named or sum(len(words[k]) for k in marked) >= MOSTLY * len(whole)) and bounds(whole)[1] >= MIN_COSINE - 1e-9:
+        out.append(whole)
+    return out
+
+
+def header_runs(files: DataFrame, lines: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """``path``, ``key``, ``terms`` of runs of lines and of whole licence files."""
+    spark = files.sparkSession
+    given = _templates(spark, templates)
+    idf = {r.term: r.idf for r in _frequencies(lines, given).join(F.broadcast(given.select(F.explode("terms").alias("term")).distinct()), "term").collect()}
+    most = lines.agg((F.log(F.count("*") + 1) + 1).alias("m")).first().m
+    vectors, longest = [], 0
+    for r in given.collect():
+        v = {w: n * idf[w] for w, n in Counter(r.terms).items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / norm for w, x in v.items()})
+        longest = max(longest, LONGEST * len(r.terms))
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for i, (path, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for x in _runs(path, text, vectors, idf, most, longest):
+                    at.append(i)
+                    out.append(x)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out, pa.list_(pa.string()))], names=["path", "key", "terms"])
+
+    schema = T.StructType([files.schema["path"], files.schema["key"], T.StructField("terms", T.ArrayType(T.StringType()))])
+    return files.filter(F.col("text").rlike(WRAPPED)).select("path", "key", "text").mapInArrow(run, schema)
+
+
 def scan(files: DataFrame, templates=TEMPLATES) -> DataFrame:
     """``path``, ``key``, ``own_license``, ``cosine``, ``license`` and
     ``inherited_from`` (a directory, or null) of every file.
 
     ``files`` has ``path``, ``key`` (any id, distinct for distinct files) and
-    ``text``; it is read twice, for headers and for the result.
+    ``text``; it is read three times, for header lines, runs and the result.
     """
     lines = staged(header_lines(files), "headers")  # a few lines a file, used several times
-    found = lines.withColumn("statement", F.array_join("terms", " ")).join(
-        classify_lines(lines, templates).withColumnRenamed("text", "statement"), "statement"
+    runs = staged(header_runs(files, lines, templates), "runs")
+    texts = lines.select("path", "key", "terms", "no").unionByName(runs.withColumn("no", F.lit(None).cast("int")))
+    found = texts.withColumn("statement", F.array_join("terms", " ")).join(
+        classify_lines(lines, templates, runs).withColumnRenamed("text", "statement"), "statement"
     )
+    size = F.size("terms")
     own = found.groupBy("path", "key").agg(
-        F.min(F.struct((-F.col("cosine")).alias("c"), "license", "no")).alias("b"), F.sum(F.size("terms")).alias("header_words")
+        F.min(F.struct((-F.col("cosine")).alias("c"), "license", F.coalesce("no", F.lit(2**31 - 1)).alias("no"), size.alias("size"))).alias("b"),
+        F.sum(F.when(F.col("no").isNotNull(), size)).alias("line_words"),
     )
-    own = own.select("path", "key", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("cosine"), "header_words")
+    own = own.select("path", "key", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("cosine"), F.greatest("line_words", "b.size").alias("header_words"))
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     every = files.select("path", "key", words.alias("words"), directory(F.col("path")).alias("dir"))

@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 from cinelake.llm.license_scan import TEMPLATES, scan
@@ -44,3 +45,14 @@ def test_cosine_equals_brute_force(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "path string, key long, text string")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    files = [(f"/{n}/{w}/{i}.py", 100 * w + i, "\n".join(["import os", "", *("# " + x for x in textwrap.wrap(t, w)), "", "x = 1"])) for w in (40, 60, 72) for i, (n, t) in enumerate(TEMPLATES)]
+    mit = next(t for n, t in TEMPLATES if n == "MIT" and "hereby" in t)
+    files += [("/lib/LICENSE", 9000, "MIT\n\n" + textwrap.fill(mit, 30).replace(" ", "  ")), ("/lib/a/b.c", 9001, "int x;")]
+    files += [("/z/COPYING", 9002, "\n\n".join(textwrap.wrap(mit, 30))), ("/z/a.c", 9003, "int y;")]
+    got = {r.key: r for r in scan(spark.createDataFrame(files, "path string, key long, text string")).collect()}
+    wrong = [(k, r.own_license) for k, r in got.items() if k < 9000 and r.own_license != TEMPLATES[k % 100][0]]
+    assert not wrong
+    assert got[9000].own_license == got[9001].license == got[9002].own_license == got[9003].license == "MIT"
