@@ -59,3 +59,12 @@ def test_library_does_not_import_the_subpackage():
     for path in (root / "cinelake").rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", path.read_text(), re.M), path
+
+
+def test_encoding_decodes_again(spark):
+    import hashlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.text for r in docs.collect()}
+    got = corpus_pipeline.encoding(spark, docs, SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
