@@ -15,14 +15,22 @@ that none can be missed and all are aligned:
 * Runs whose anchor gram occurs once in the collection hold no repeat.
 * Runs equal in all their bytes are repeats as wholes, by count.
 * Of the other runs one of each content is taken; runs with the same gram are
-  aligned at it and go through the construction together, in bounded units.
+  aligned at it and go through the construction together. A construction holds
+  whole grams, each of at most ``BLOCK`` strings, so that no string is in it twice.
+* Around a hot gram (more than ``BLOCK`` contents) runs are cut into pieces of
+  twelve windows, aligned at the gram. Pieces whose common core is theirs alone
+  hold no repeat, pieces of equal bytes are repeats by count, and the windows of
+  what is left are compared by count. No group is gathered, no pair is made.
 
 Only runs travel, not texts, until spans are known; a common passage is one run
-content with a count, and the many contents around it are dealt into blocks.
+content with a count.
 
 Defined results: a null text is empty; matches never cross documents; repeated
-rows are repeats of each other, and so are repeats within one text; an empty
-table gives no rows. The bytes that stay may begin or end within a character.
+rows are repeats of each other, and so are repeats within one text; ties have no
+role, as every copy goes; an empty table gives no rows; other columns are dropped,
+and their names may clash with any made here. A very long text is hashed in one
+piece, in a task with some 60 bytes of memory a byte of it. The bytes that stay
+may begin or end within a character.
 """
 
 from __future__ import annotations
@@ -35,20 +43,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import byte_view, chunks, marks, may_hold, partitions, staged, text_key
-from ._groups import units
 from ._words import _BASE, _INVERSE, BYTE_VALUES, U, _powers, mix
 
 LENGTH, GRAM = 200, 64
 SPREAD = LENGTH - GRAM + 1
-#: Strings in one construction, and in a block of a large unit.
-STRINGS, BLOCK = 16_000, 8_000
+#: Strings after which a construction ends at the next gram, and most of a gram.
+STRINGS, BLOCK = 16_000, 16_000
+#: Windows in a piece of a run around a hot gram.
+WIDTH = 12
 #: Bytes hashed at a time, and bits of a byte position in the order of anchors.
-PIECE, PLACE = 1 << 20, 28
+PIECE, PLACE = 1 << 20, 31
 BITS = 27
 
 RUNS = "gram long, content long, doc_key long, start int, size short, anchor short"
-REGIONS = "gram long, doc_key long, start int, anchor short, single boolean, bytes binary"
+REGIONS = "gram long, doc_key long, start int, anchor short, single boolean, hot boolean, bytes binary"
 SPANS = "doc_key long, start int, end int"
+PARTS = "gram long, part long, content long, doc_key long, run int, start int, end int, single boolean, lo int, hi int"
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -112,7 +122,7 @@ def _run_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, RUNS)
 
 
-def column_repeats(strings: list[bytes], anchors: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def column_repeats(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each string (row) and window start (column, by its distance left of the
     anchor) whether the window's bytes also stand at that column of another string.
 
@@ -121,18 +131,20 @@ def column_repeats(strings: list[bytes], anchors: np.ndarray, length: int = LENG
     the one before it. A new symbol refines the order stably; what neighbours with
     one symbol have in common is the least of what lay between them before.
     """
-    m = len(strings)
-    size = np.array([len(x) for x in strings])
+    m, size = len(anchors), np.diff(offsets)
     left, right = int(anchors.max(initial=0)), int((size - anchors).max(initial=0))
-    grid = np.full((m, left + right), 256, np.uint16)
     first = left - anchors
-    at = np.repeat(np.arange(m) * (left + right) + first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    grid.reshape(-1)[at] = np.frombuffer(b"".join(strings), np.uint8)
-    columns = np.ascontiguousarray(grid.T)
+    upto = first + size
+    columns = np.zeros((left + right, m), np.uint8)
+    for lo in range(0, m, 1024):  # a row a column
+        own = size[lo : lo + 1024]
+        row = np.repeat(np.arange(lo, lo + len(own)), own)
+        begin, end = offsets[lo], offsets[lo + len(own)]
+        columns[np.arange(begin, end) - (offsets[:-1] - first)[row], row] = data[begin:end]
     out = np.zeros((m, left + 1), bool)
     order, until = np.arange(m), np.full(m + 1, left + right)
     for c in range(left + right - 1, -1, -1):
-        symbol = columns[c][order]
+        symbol = np.where((c >= first) & (c < upto), columns[c], np.uint16(256))[order]
         by = np.argsort(symbol, kind="stable")
         sorted_ = symbol[by]
         same = (sorted_[1:] == sorted_[:-1]) & (sorted_[1:] < 256)
@@ -150,44 +162,98 @@ def column_repeats(strings: list[bytes], anchors: np.ndarray, length: int = LENG
     return out
 
 
-def _repeat_spans(batches):
-    """Repeated byte ranges of the strings that stand for one run alone."""
-    held: list[dict] = []
-    count = 0
-
-    def finish():
-        rows = {k: [x for h in held for x in h[k]] for k in held[0]}
-        anchors = np.array(rows["anchor"], np.int64)
-        found = column_repeats(rows["bytes"], anchors)
-        key, start, end = [], [], []
-        for i in np.flatnonzero(found.any(1) & np.array(rows["single"])):
-            d = np.flatnonzero(found[i])
-            cut = np.flatnonzero(np.diff(d) > 1)
-            base = rows["start"][i] + int(anchors[i])
-            for a, b in zip(d[np.append(0, cut + 1)], d[np.append(cut, len(d) - 1)], strict=True):
-                key.append(rows["doc_key"][i])
-                start.append(base - int(b))
-                end.append(base - int(a) + LENGTH)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["doc_key", "start", "end"])
-
-    last = None
-    for batch in batches:
-        unit = batch.column(0).to_numpy()
-        if not len(unit):
-            continue
-        cut = np.flatnonzero(np.diff(unit)) + 1
-        # construction ends only between units: where it may, after enough strings
-        lo = 0
-        for hi in [*cut.tolist(), len(unit)]:
-            if count >= STRINGS and unit[lo] != last:
-                yield finish()
-                held, count = [], 0
-            last = unit[lo]
-            held.append(batch.slice(lo, hi - lo).to_pydict())
-            count += hi - lo
-            lo = hi
-    if held:
-        yield finish()
+def _repeat_spans(most: int):
+    """Repeated byte ranges of the strings that stand for one run alone; rows come
+    sorted by gram, and a gram's strings all go into one construction."""
+
+    def finish(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key, start, anchor, single = (rows.column(c).to_numpy() for c in ("doc_key", "start", "anchor", "single"))
+        data, offsets = byte_view(rows.column("bytes"))
+        found = column_repeats(data, offsets, anchor.astype(np.int64))
+        found &= single.astype(bool)[:, None]
+        # maximal ranges of window starts, by their distance left of the anchor
+        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, near = np.nonzero(edge == 1)
+        far = np.nonzero(edge == -1)[1] - 1
+        at = start[row].astype(np.int64) + anchor[row]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[row]), pa.array((at - far).astype(np.int32)), pa.array((at - near + LENGTH).astype(np.int32))], names=["doc_key", "start", "end"]
+        )
+
+    def run(batches):
+        held, count, last = [], 0, None
+        for batch in batches:
+            gram, lo = batch.column(0).to_numpy(), 0
+            while lo < len(gram):
+                if count >= most and gram[lo] != last:
+                    yield finish(held)
+                    held, count = [], 0
+                hi = min(lo + max(most - count, 0), len(gram)) if count < most else lo
+                if hi < len(gram):  # to the end of the gram that is there
+                    hi = lo + int(np.searchsorted(gram[lo:], gram[max(hi - 1, lo)], "right"))
+                held.append(batch.slice(lo, hi - lo))
+                count, last, lo = count + hi - lo, gram[hi - 1], hi
+        if held:
+            yield finish(held)
+
+    return run
+
+
+def _cut(width: int):
+    """The pieces of ``width`` windows of each run, aligned at its anchor: a hash of
+    the core that all windows of such a piece have, and one of the bytes it has."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, start, anchor, single, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc_key", "start", "anchor", "single", "lo", "hi"))
+            data, offsets = byte_view(batch.column("bytes"))
+            size = 1 << int(len(data) + 1).bit_length()
+            total = np.zeros(len(data) + 1, U)
+            np.cumsum(BYTE_VALUES[data] * _powers(_BASE, size)[: len(data)], out=total[1:])
+            inverse = _powers(_INVERSE, size)
+            hashed = lambda a, b: mix((total[b] - total[a]) * inverse[a])
+            # distances left of the anchor, and the classes of them
+            anchor = anchor.astype(np.int64)
+            near, far = anchor - hi, anchor - lo
+            n = far // width - near // width + 1
+            row = np.repeat(np.arange(len(n)), n)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + (near // width)[row]
+            d0, d1 = np.maximum(part * width, near[row]), np.minimum(part * width + width - 1, far[row])
+            at = offsets[:-1][row] + anchor[row]
+            core = hashed(at - part * width, at - part * width - width + 1 + LENGTH)
+            content = mix(hashed(at - d1, at - d0 + LENGTH) ^ ((d1 - d0) * 1024 + d0).astype(U))
+            base = (start + anchor)[row]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("gram").take(pa.array(row)), pa.array(mix(core ^ part.astype(U)).astype(np.int64)), pa.array(content.astype(np.int64)), pa.array(key[row]),
+                    pa.array(start[row]), pa.array((base - d1).astype(np.int32)), pa.array((base - d0 + LENGTH).astype(np.int32)), pa.array(single[row]),
+                    pa.array((anchor[row] - d1).astype(np.int32)), pa.array((anchor[row] - d0).astype(np.int32)),
+                ],
+                names=["gram", "part", "content", "doc_key", "run", "start", "end", "single", "lo", "hi"],
+            )
+
+    return run
+
+
+def _hot_spans(hot: DataFrame) -> DataFrame:
+    """``SPANS`` of runs around grams that have too many contents to compare."""
+    runs = hot.withColumn("lo", F.lit(0)).withColumn("hi", F.octet_length("bytes") - LENGTH)
+    pieces = staged(runs.mapInArrow(_cut(WIDTH), PARTS), "pieces")
+    which = ["gram", "part"]
+    place = F.struct("doc_key", "run", "start", "end", "single", "lo", "hi")
+    contents = staged(pieces.groupBy(*which, "content").agg(F.count("*").alias("n"), F.min(place).alias("p")), "piece_contents")
+    again = contents.filter("n > 1").select(*which, "content")
+    whole = pieces.filter("single").join(again, [*which, "content"]).select("doc_key", "start", "end")
+    several = staged(contents.groupBy(*which).agg((F.min("content") < F.max("content")).alias("several")).filter("several").select(*which), "several")
+    # one piece of each content, whose windows are compared by count
+    left = contents.join(several, which).select("gram", "p.doc_key", F.col("p.run").alias("start"), (F.col("p.single") & (F.col("n") == 1)).alias("single"), "p.lo", "p.hi")
+    again = left.join(hot.drop("single"), ["gram", "doc_key", "start"])
+    windows = staged(again.select(*runs.columns).mapInArrow(_cut(1), PARTS), "windows")
+    seen = windows.groupBy(*which).agg(F.count("*").alias("n")).filter("n > 1").select(*which)
+    return whole.unionByName(windows.filter("single").join(staged(seen, "seen"), which).select("doc_key", "start", "end"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,13 +271,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = shared.select("gram", "content", "doc_key", "start", "size").join(contents.filter("n > 1").select("gram", "content"), ["gram", "content"])
     whole = whole.select("doc_key", "start", (F.col("start") + F.col("size")).alias("end"))
 
-    mixed = contents.filter("several").select("gram", (F.col("n") == 1).alias("single"), "p.*")
-    asked = staged(mixed.groupBy("doc_key").agg(F.collect_list(F.struct("gram", "single", "start", "size", "anchor")).alias("asked")), "asked")
+    hot = staged(contents.filter("several").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("gram", F.lit(True).alias("hot")), "hot")
+    mixed = contents.filter("several").join(hot, "gram", "left").select("gram", (F.col("n") == 1).alias("single"), F.coalesce("hot", F.lit(False)).alias("hot"), "p.*")
+    asked = staged(mixed.groupBy("doc_key").agg(F.collect_list(F.struct("gram", "single", "hot", "start", "size", "anchor")).alias("asked")), "asked")
     regions = staged(_regions(_rows_with(docs, asked, id_col, text_col)), "regions")
-    one = regions.withColumn("content", F.xxhash64("doc_key", "start")).withColumn("weight", F.lit(1))
-    dealt = units(one, "gram", "content", "weight", BLOCK).select("unit", "doc_key", "start", "anchor", "single", "bytes")
-    dealt = dealt.repartition(partitions(spark), "unit").sortWithinPartitions("unit")
-    parts = staged(dealt.mapInArrow(_repeat_spans, SPANS), "parts")
+    few = regions.filter("not hot").drop("hot").repartition(partitions(spark), "gram").sortWithinPartitions("gram")
+    parts = staged(few.mapInArrow(_repeat_spans(STRINGS), SPANS), "parts")
+    many = regions.filter("hot").drop("hot")
+    if not hot.isEmpty():
+        parts = parts.unionByName(staged(_hot_spans(many), "hot_spans"))
     every = whole.unionByName(parts).groupBy("doc_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return staged(every, "spans")
 
@@ -232,15 +300,21 @@ def _regions(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
-            raw = data.tobytes()
-            out: dict[str, list] = {k: [] for k in ("gram", "doc_key", "start", "anchor", "single", "bytes")}
-            for i, (key, asked) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for x in asked:
-                    a = int(offsets[i]) + x["start"]
-                    for k, v in (("gram", x["gram"]), ("doc_key", key), ("start", x["start"]), ("anchor", x["anchor"]), ("single", x["single"]), ("bytes", raw[a : a + x["size"]])):
-                        out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+            lists = batch.column(2)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            asked = dict(zip(("gram", "single", "hot", "start", "size", "anchor"), lists.flatten().flatten(), strict=True))
+            first = offsets[:-1][row] + asked["start"].to_numpy()
+            size = asked["size"].to_numpy().astype(np.int64)
+            for lo in range(0, len(row), 20_000):
+                f, n = first[lo : lo + 20_000], size[lo : lo + 20_000]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                raw = data[np.repeat(f - upto[:-1], n) + np.arange(upto[-1])]
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(raw)])
+                sub = {k: v.slice(lo, 20_000) for k, v in asked.items()}
+                yield pa.RecordBatch.from_arrays(
+                    [sub["gram"], batch.column(0).take(pa.array(row[lo : lo + 20_000])), sub["start"], sub["anchor"], sub["single"], sub["hot"], bytes_],
+                    names=["gram", "doc_key", "start", "anchor", "single", "hot", "bytes"],
+                )
 
     return rows.mapInArrow(run, REGIONS)
 

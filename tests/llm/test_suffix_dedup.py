@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cinelake.llm import suffix_dedup
 from cinelake.llm.suffix_dedup import column_repeats, cut_repeats
@@ -51,13 +52,33 @@ def test_equals_brute_force(spark):
     assert sum(x[1] > 0 for x in want) > 30
 
 
-def test_small_units_and_pieces(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 7)
+def test_small_constructions_and_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRINGS", 5)
     monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
     check(spark, case())
 
 
+def test_hot_grams_are_decided_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 5)
+    check(spark, case())
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 0)
+    check(spark, case())
+
+
+def test_a_common_passage_that_is_too_short_removes_nothing(spark):
+    # more contents around one gram than a construction holds, no 200 bytes alike
+    passage = hashlib.sha512(b"p").hexdigest() + hashlib.sha512(b"q").hexdigest()[:22]
+    own = F.concat(F.sha2(F.concat(F.lit("a"), "id"), 512), F.sha2(F.concat(F.lit("b"), "id"), 512))
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(own, F.lit(passage), F.sha2(F.concat(F.lit("c"), "id"), 512), F.sha2(F.concat(F.lit("d"), "id"), 512)).alias("text"))
+    assert len(passage) == 150 and suffix_dedup.BLOCK < 30_000
+    assert cut_repeats(df).agg(F.sum("n_removed")).first()[0] == 0
+    # fifty bytes more make it one in each
+    long = df.withColumn("text", F.concat(F.substring("text", 1, 256), F.lit(passage[:50]), F.substring("text", 257, 1000)))
+    got = cut_repeats(long).agg(F.min("n_removed"), F.max("n_removed"), F.min("n_spans")).first()
+    assert 200 <= got[0] and got[1] <= 220 and got[2] == 1  # and by chance some characters next to it
+
+
 def test_repeated_rows_kept_bytes_and_empty_table(spark):
     df = spark.createDataFrame([(1, "q" * 50 + "é" * 150), (1, "q" * 50 + "é" * 150), (2, "other")], "doc_id long, text string")
     rows = {r.doc_id: r for r in cut_repeats(df, keep_bytes=True).collect()}
@@ -72,7 +93,8 @@ def test_column_construction_equals_comparing_all():
         left = rng.randint(0, 6)
         strings.append(bytes(rng.choices(b"ab", k=left)) + b"X" + bytes(rng.choices(b"ab", k=rng.randint(0, 7))))
         anchors.append(left)
-    got = column_repeats(strings, np.array(anchors), 5)
+    offsets = np.cumsum([0, *map(len, strings)])
+    got = column_repeats(np.frombuffer(b"".join(strings), np.uint8), offsets, np.array(anchors), 5)
     for i, (s, a) in enumerate(zip(strings, anchors, strict=True)):
         for d in range(got.shape[1]):
             w = s[a - d : a - d + 5] if d <= a else b""
