@@ -2,20 +2,31 @@
 
 Lines are normalised (A-Z folded, digits as 0, everything between words as one
 blank) and hashed; equal normalised lines are one distinct line from the start.
-Each distinct line of five words or more gets a 64-bit SimHash over its words and
-word pairs. Five blocks of bits, two at a time, make ten keys: by the pigeonhole
-principle two lines at a distance of three bits or less share a key. Within a
-key, lines at a distance of at most ``CLOSE`` bits are linked by a spanning
-forest, never by all pairs; the forests' components are compared in units of
-bounded size, where an edit similarity of ``SIMILARITY`` or more verifies a
-link. Of each connected group the first occurrence stays, by document id and
-line number; all others go.
+Each distinct line gets a 64-bit SimHash over its words, and block keys by which
+it is joined with others:
+
+* By the pigeonhole principle, SimHashes at a distance of d bits agree on one of
+  d + 1 blocks. Lines at an edit similarity of 0.8 to 0.95 differ in 5 to 18 bits,
+  so blocks of the SimHash itself would have three bits each. The blocks are
+  therefore taken from the minima of hashes of a line's words: six blocks of four
+  minima. Lines that have a share J of their words in common agree on a block with
+  probability 1 - (1 - J^4)^6.
+* Lines of at most ``SHORT`` characters have the keys of all strings that are one
+  deletion away, which finds every pair within one edit.
+
+Lines that share a block and whose SimHashes differ in at most ``CLOSE`` bits form
+a candidate set; equal sets from several blocks are one. Sets are compared in units
+of bounded size, where an edit similarity of ``SIMILARITY`` or more verifies a
+link; verified links alone make components. Of each connected group the first
+occurrence stays, by document id and line number; all others go.
 
 Lines without a word are left alone. Defined results: a null text stays null; an
 empty one stays empty; repeated rows (same id, same text) count as one
 occurrence and are treated alike; documents with a null id come last in order;
-an empty table stays empty; other columns are passed on. Equality of normalised
-lines is that of their 64-bit hashes.
+ties of id go to the lesser line number, then to the lesser key of the row; an
+empty table stays empty; other columns are passed on, and clashing names do no
+harm. Very long texts and lines are compared whole; a unit then holds two blocks
+of one line each. Equality of normalised lines is that of their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,28 +34,35 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import byte_view, chunks, fresh, marked, marks, may_hold, partitions, staged, text_key
-from ._groups import Forest, components, each_unit, merge_labels, units
-from ._words import _BASE, _INVERSE, ALNUM, FOLD, U, _powers, hash_spans, mix, rows_of, spans, table, windows
+from ._groups import Forest, components, each_unit, units
+from ._words import _BASE, _INVERSE, ALNUM, FOLD, U, _powers, hash_spans, mix, rows_of, spans, table
 
-MIN_WORDS = 5
-CLOSE = 8
+#: Most bits that SimHashes of candidates differ in.
+CLOSE = 18
 SIMILARITY = 0.8
 #: Bytes of text in a block of a unit.
 BUDGET = 400_000
-#: First bit and width of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-
+#: Blocks of a line, and minima in each.
+BLOCKS, MINIMA = 6, 4
+#: Characters of a short line.
+SHORT = 9
+#: Lines of a block that are compared with each other at once; a larger block is
+#: a candidate set as a whole, to be cut into units.
+HOT = 1024
+
+SALTS = mix(np.arange(1, BLOCKS * MINIMA + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 #: The four bits of a number, each in 16 bits of its own.
 LANES = np.array([sum((i >> k & 1) << 16 * k for k in range(4)) for i in range(16)], U)
 NOT_NEWLINE = ~table(0x0A)
 FOLD_DIGITS = FOLD.copy()
 FOLD_DIGITS[0x30:0x3A] = 0x30
 
-LINES = "doc_key long, doc_id long, line_no int, line long, sim long, size int"
+LINES = "doc_key long, doc_id long, line_no int, line long, sim long, size int, keys array<long>"
 TEXTS = "doc_key long, line_no int, line long, norm string"
 
 
@@ -93,25 +111,46 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray):
-    """Row, line number, hash, SimHash (0 for short lines) and normalised size."""
+    """Row, line number, hash, SimHash (0 for short lines), normalised characters
+    and block keys (a flat array and its offsets) of each line."""
     row, no, first, upto, s, e = _lines(data, offsets)
+    n = len(row)
     h = hash_spans(data, s, e, FOLD_DIGITS)
     words = upto - first
-    sim = np.zeros(len(row), U)
-    long = np.flatnonzero(words >= MIN_WORDS)
-    if len(long):
-        n = words[long]
-        at = np.repeat(first[long] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        group = np.repeat(np.arange(len(long)), n)
-        c1, b1 = _bit_sums(h[at], group, len(long))
-        inner = np.ones(len(at), bool)
-        inner[np.cumsum(n) - 1] = False
-        pairs = windows(h, 2)
-        c2, b2 = _bit_sums(pairs[at[inner]], group[inner], len(long))
-        bits = (2 * (b1 + b2) > (c1 + c2)[:, None]).astype(np.uint8)
-        sim[long] = np.packbits(bits, axis=1, bitorder="little").view(U)[:, 0]
-    chars = np.concatenate([[0], np.cumsum(e - s)])
-    return row, no, _sequence_hash(h, first, upto), sim, (chars[upto] - chars[first] + words - 1).astype(np.int32), words
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chars = np.concatenate([[0], np.cumsum(lead[e] - lead[s])])
+    size = chars[upto] - chars[first] + words - 1
+    line = _sequence_hash(h, first, upto)
+    if not n:
+        return row, no, line, np.empty(0, U), size.astype(np.int32), np.empty(0, U), np.zeros(1, np.int64)
+    # every word of a line with a word is in a line, in order
+    counts, sums = _bit_sums(h, np.repeat(np.arange(n), words), n)
+    sim = np.packbits((2 * sums > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view(U)[:, 0]
+    starts = np.cumsum(words) - words
+    blocks = np.empty((n, BLOCKS), U)
+    for b in range(BLOCKS):
+        key = np.full(n, b + 1, U)
+        for salt in SALTS[b * MINIMA : (b + 1) * MINIMA]:
+            key = mix(key * U(0xD1342543DE82EF95) + np.minimum.reduceat(h * salt >> U(32), starts))
+        blocks[:, b] = key
+    short = size <= SHORT
+    sim[short] = 0
+    many = np.where(short, 0, BLOCKS)
+    flat = [blocks[~short].reshape(-1)]
+    if short.any():  # keys of short lines, in place of the blocks
+        folded = FOLD_DIGITS[data].tobytes()
+        found = []
+        for i in np.flatnonzero(short):
+            text = b" ".join(folded[a:z] for a, z in zip(s[first[i] : upto[i]], e[first[i] : upto[i]], strict=True)).decode()
+            near = {text} | {text[:k] + text[k + 1 :] for k in range(len(text))}
+            found.append(np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in sorted(near)], U))
+            many[i] = len(near)
+        at = np.concatenate([[0], np.cumsum(many)])
+        keys = np.empty(at[-1], U)
+        keys[np.repeat(~short, many)] = flat[0]
+        keys[np.repeat(short, many)] = np.concatenate(found)
+        flat = [keys]
+    return row, no, line, sim, size.astype(np.int32), flat[0], np.concatenate([[0], np.cumsum(many)])
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,12 +162,15 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data, offsets = byte_view(batch.column(2))
             for lo, hi in chunks(offsets):
                 part = offsets[lo : hi + 1]
-                row, no, line, sim, size, words = line_hashes(data[part[0] : part[-1]], part - part[0])
+                row, no, line, sim, size, flat, upto = line_hashes(data[part[0] : part[-1]], part - part[0])
                 at = pa.array(row + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(at), ids.take(at), pa.array(no), pa.array(line.astype(np.int64)), pa.array(sim.astype(np.int64), mask=words < MIN_WORDS), pa.array(size)],
-                    names=["doc_key", "doc_id", "line_no", "line", "sim", "size"],
-                )
+                    [
+                        keys.take(at), ids.take(at), pa.array(no), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(size),
+                        pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat.view(np.int64))),
+                    ],
+                    names=["doc_key", "doc_id", "line_no", "line", "sim", "size", "keys"],
+                )
 
     return rows.mapInArrow(run, LINES)
 
@@ -168,51 +210,54 @@ def _texts(docs: DataFrame, doc_marks: np.ndarray, line_marks: np.ndarray, id_co
     return rows.mapInArrow(run, TEXTS)
 
 
-def _keys():
-    """The ten pigeonhole keys of ``sim``: which two blocks, and their bits."""
-    block = [F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << w) - 1)) for lo, w in BLOCKS]
-    pairs = [(i, j) for i in range(len(BLOCKS)) for j in range(i)]
-    return F.array(*(F.lit(p << 26) + F.shiftleft(block[i], 13) + block[j] for p, (i, j) in enumerate(pairs)))
-
-
-def _link_close(batches):
-    """A spanning forest of close SimHashes within each key of sorted rows."""
+def _candidates(batches):
+    """Candidate sets: for each key of the sorted rows, the lines that are close to
+    another one; a set is named by its members, so that equal sets are one."""
     empty = np.empty(0, np.int64)
-    held = [empty, empty, empty.view(U)]
-
-    def forest(key, line, sim):
-        cut = np.flatnonzero(np.diff(key)) + 1
-        lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        two = np.flatnonzero(hi - lo == 2)
-        at = lo[two]
-        ok = np.bitwise_count(sim[at] ^ sim[at + 1]) <= CLOSE
-        a, b = [line[at[ok]]], [line[at[ok] + 1]]
-        for i in np.flatnonzero(hi - lo > 2):
-            ids, values = line[lo[i] : hi[i]], sim[lo[i] : hi[i]]
-            alike, first, back = np.unique(values, return_index=True, return_inverse=True)
-            a.append(ids)
-            b.append(ids[first[back]])
-            label = Forest(len(alike))
-            for k in range(len(alike) - 1):
-                near = k + 1 + np.flatnonzero((np.bitwise_count(alike[k + 1 :] ^ alike[k]) <= CLOSE) & (label.label[k + 1 :] != label.label[k]))
-                if len(near):
-                    label.join(k, near)
-            a.append(ids[first])
-            b.append(ids[first[label.label]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+    held, hot = [empty, empty, empty.view(U)], None
+
+    def emit(name, line):
+        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(line)], names=["cluster", "line"])
+
+    def sets(key, line, sim):
+        near = np.zeros(len(key), bool)
+        i, step = np.arange(len(key)), 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(key)]
+            i = i[key[i] == key[i + step]]
+            close = i[np.bitwise_count(sim[i] ^ sim[i + step]) <= CLOSE]
+            near[close] = near[close + step] = True
+        key, line = key[near], line[near]
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        name = np.add.reduceat(mix(line.view(U)), first) if len(first) else np.empty(0, U)
+        return emit(np.repeat(mix(name), np.diff(first, append=len(key))), line)
 
     for batch in batches:
         new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U)]
-        if not len(new[0]):
-            continue
         key, line, sim = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
-        last = int(np.searchsorted(key, key[-1], "left"))
-        held = [key[last:], line[last:], sim[last:]]
-        if last:
-            yield forest(key[:last], line[:last], sim[:last])
+        if hot is not None:
+            more = int(np.searchsorted(key, hot, "right"))
+            yield emit(np.full(more, hot, np.int64), line[:more])
+            key, line, sim = key[more:], line[more:], sim[more:]
+        if not len(key):
+            held = [key, line, sim]
+            continue
+        # keys that are too frequent are sets as they stand
+        first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        count = np.diff(first, append=len(key))
+        much = np.repeat(count > HOT, count)
+        last = int(first[-1])
+        if much.any():
+            yield emit(key[much], line[much])
+            hot = key[-1] if much[-1] else None
+        done = ~much
+        done[last:] = False
+        if done.any():
+            yield sets(key[done], line[done], sim[done])
+        held = [empty, empty, empty.view(U)] if much[-1] else [key[last:], line[last:], sim[last:]]
     if len(held[0]):
-        yield forest(*held)
+        yield sets(*held)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -248,45 +293,54 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _compare(unit: dict[str, list]) -> dict[str, list]:
+    """Verified links of a unit, as a spanning forest."""
     line, sim, text = unit["line"], np.array(unit["sim"], np.int64).view(U), unit["norm"]
     side, size = np.array(unit["side"]), np.array([len(t) for t in text])
     forest = Forest(len(line))
     across = np.flatnonzero(side == 2)
+    a, b = [], []
     for i in np.flatnonzero(side != 2):
         j = np.arange(i + 1, len(line)) if side[i] == 0 else across
         j = j[(np.bitwise_count(sim[j] ^ sim[i]) <= CLOSE) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]) - 1e-9)]
         for k in j:
             if forest.label[k] != forest.label[i] and similar(text[i], text[k]):
                 forest.join(i, np.array([k]))
-    return {"line": line, "root": [line[x] for x in forest.label], "blocks": unit["blocks"]}
+                a.append(line[i])
+                b.append(line[k])
+    return {"a": a, "b": b}
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_key`` and ``gone``, the numbers of the lines to remove, for each
-    document that loses any."""
-    lines = staged(_hashed(docs, id_col, text_col), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no", "doc_key")
-    distinct = staged(lines.groupBy("line").agg(F.first("sim").alias("sim"), F.first("size").alias("size"), F.min(place).alias("place"), F.count("*").alias("n")), "distinct")
-    keyed = distinct.filter("sim is not null").select(F.explode(_keys()).alias("key"), "line", "sim")
+def links(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``a`` and ``b``: pairs of distinct lines that connect each group of similar
+    ones. ``distinct`` has ``line`` and ``p`` (its first place, SimHash and keys)."""
+    keyed = distinct.select(F.explode("p.keys").alias("key"), "line", F.col("p.sim").alias("sim"))
     dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "line")
-    near = components(dealt.mapInArrow(_link_close, "a long, b long"))
+    sets = staged(dealt.mapInArrow(_candidates, "cluster long, line long").distinct(), "sets")
     members = staged(
-        near.join(distinct, near.node == distinct.line).select("line", "root", "sim", "size", F.col("place.doc_key").alias("doc_key"), F.col("place.line_no").alias("line_no")),
+        sets.join(distinct.select("line", "p.doc_key", "p.line_no", "p.sim", "p.size"), "line"),
         "members",
     )
     texts = _texts(docs, marks(members, "doc_key"), marks(members, "line"), id_col, text_col).dropDuplicates(["line", "doc_key", "line_no"])
-    rows = units(members, "root", "line", "size", BUDGET).join(texts, ["line", "doc_key", "line_no"]).select("unit", "side", "line", "sim", "blocks", "norm")
-    links = staged(each_unit(rows, _compare, "line long, root long, blocks int"), "links")
-    label = merge_labels(links, "line", "root", "blocks").filter("node != root").distinct()
-    # the first occurrence of each group of several distinct lines
-    roots = label.select(F.col("root").alias("node"), "root").distinct().unionByName(label)
-    grouped = staged(roots.join(distinct, F.col("node") == F.col("line")).select("line", "root", "place"), "grouped")
-    first = grouped.groupBy("root").agg(F.min("place").alias("keep"))
+    rows = units(members, "cluster", "line", "size", BUDGET).join(texts, ["line", "doc_key", "line_no"]).select("unit", "side", "line", "sim", "norm")
+    return staged(each_unit(rows, _compare, "a long, b long"), "links")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_key`` and ``gone``, the numbers of the lines to remove, for each
+    document that loses any."""
+    lines = staged(_hashed(docs, id_col, text_col), "lines")
+    # the first place of each line, and what depends on the line alone
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no", "doc_key", "sim", "size", "keys")
+    distinct = staged(lines.groupBy("line").agg(F.min(place).alias("p"), F.count("*").alias("n")), "distinct")
+    label = components(links(docs, distinct, id_col, text_col))
+    where = distinct.select("line", "n", F.struct("p.n", "p.doc_id", "p.line_no", "p.doc_key").alias("place"))
+    grouped = staged(label.join(where, F.col("node") == F.col("line")).select("line", "root", "place"), "grouped")
+    first = staged(grouped.groupBy("root").agg(F.min("place").alias("keep")), "first")
     grouped = grouped.join(first, "root").select("line", "keep")
-    kept = distinct.join(grouped, "line", "left").filter("n > 1 or keep is not null").select("line", F.coalesce("keep", "place").alias("keep"))
+    kept = where.join(grouped, "line", "left").filter("n > 1 or keep is not null").select("line", F.coalesce("keep", "place").alias("keep"))
     kept = staged(kept, "kept")  # so that the join with a hot line's occurrences can be split
     here = (F.col("doc_key") == F.col("keep.doc_key")) & (F.col("line_no") == F.col("keep.line_no"))
-    gone = lines.join(kept, "line").filter(~here).select("doc_key", "line_no")
+    gone = lines.select("line", "doc_key", "line_no").join(kept, "line").filter(~here).select("doc_key", "line_no")
     return staged(gone.groupBy("doc_key").agg(F.collect_set("line_no").alias("gone")), "gone")
 
 

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from cinelake.llm import line_dedup
 from cinelake.llm.line_dedup import CLOSE, dedup_lines, edit_distance, line_hashes, normalise, similar
-import numpy as np
 
 
 def table(a, b):
@@ -22,39 +24,20 @@ def test_edit_distance():
         assert edit_distance(a, b) == table(a, b)
 
 
-def sim(line):
-    raw = np.frombuffer(line.encode(), np.uint8)
-    return int(line_hashes(raw, np.array([0, len(raw)]))[3][0])
-
-
 def brute(docs):
-    """Groups over all pairs of lines: equal when normalised, or close SimHashes
-    with two equal blocks, or close within such a component, and similar."""
+    """Groups over all pairs of lines: equal when normalised, or similar."""
     lines = [(i, k, normalise(x.encode())) for i, t in docs if t for k, x in enumerate(t.split("\n"))]
     lines = [x for x in lines if x[2]]
     norms = sorted({x[2] for x in lines})
-    long = [n for n in norms if len(n.split()) >= 5]
-    values = {n: sim(n) for n in long}
-    block = lambda v: [v >> lo & (1 << w) - 1 for lo, w in line_dedup.BLOCKS]
-    bits = lambda a, b: (values[a] ^ values[b]).bit_count()
-
-    def groups(nodes, linked):
-        label = {n: n for n in nodes}
-        for i, a in enumerate(nodes):
-            for b in nodes[:i]:
-                if label[a] != label[b] and linked(a, b):
-                    old, new = label[a], label[b]
-                    for n in nodes:
-                        if label[n] == old:
-                            label[n] = new
-        return label
-
-    near = groups(long, lambda a, b: bits(a, b) <= CLOSE and sum(x == y for x, y in zip(block(values[a]), block(values[b]), strict=True)) >= 2)
-    same = groups(long, lambda a, b: near[a] == near[b] and bits(a, b) <= CLOSE and similar(a, b))
+    label = {n: n for n in norms}
+    for i, a in enumerate(norms):
+        for b in norms[:i]:
+            if label[a] != label[b] and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and table(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                old, new = label[a], label[b]
+                label = {n: new if x == old else x for n, x in label.items()}
     first, gone = {}, {}
     for i, k, n in sorted(lines):
-        g = same.get(n, n)
-        if first.setdefault(g, (i, k)) != (i, k):
+        if first.setdefault(label[n], (i, k)) != (i, k):
             gone.setdefault(i, set()).add(k)
     out = {}
     for i, t in docs:
@@ -65,7 +48,7 @@ def brute(docs):
 def case():
     rng = random.Random(4)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(400)]
-    lines = [" ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 8, 30, 60]))) for _ in range(60)]
+    lines = [" ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 12, 20, 30]))) for _ in range(60)]
 
     def vary(line):
         if rng.random() < 0.5:
@@ -75,7 +58,7 @@ def case():
         return rng.choice([" ".join(words), line.upper() + "!", "  " + line.replace(" ", ", ")])
 
     docs = [(i, "\n".join(vary(rng.choice(lines)) for _ in range(rng.randint(0, 12)))) for i in range(40)]
-    hot = " ".join(rng.choices(vocabulary, k=80))
+    hot = " ".join(rng.choices(vocabulary, k=40))
     docs += [(100 + i, vary(hot) + "\n\n" + vary(hot)) for i in range(30)]
     return [*docs, (200, None), (201, ""), (202, "\n\n"), (203, "!!\n??")]
 
@@ -104,7 +87,7 @@ def test_equals_brute_force(spark):
     assert all(r.gone == "x" for r in rows)
 
 
-def test_large_groups_in_blocks_and_fuzzy_links(spark, monkeypatch):
+def test_large_groups_in_blocks_and_frequent_keys(spark, monkeypatch):
     docs = case()
     want, _ = brute(docs)
     monkeypatch.setattr(line_dedup, "BUDGET", 600)
@@ -114,6 +97,34 @@ def test_large_groups_in_blocks_and_fuzzy_links(spark, monkeypatch):
     assert left < 12
 
 
+def test_candidate_sets_of_frequent_keys():
+    def sets(rows, size):
+        rows = sorted(rows)
+        for lo in range(0, len(rows), size):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[lo : lo + size], strict=True)], names=["key", "line", "sim"])
+
+    rows = [(7, i, 0) for i in range(3000)] + [(8, 1, 0), (8, 2, 3), (9, 5, 0), (9, 6, -1), (10, 2, 3), (10, 1, 0)] + [(11, i, 0) for i in range(1500)]
+    for size in (1, 700, 2999, 10_000):
+        got = {}
+        for batch in line_dedup._candidates(sets(rows, size)):
+            for cluster, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault(cluster, set()).add(line)
+        assert sorted(map(len, got.values())) == [2, 1500, 3000]  # the pair of 8 and 10 is one set
+
+
+def test_recall_against_all_lines(spark):
+    """Similar pairs of lines, by comparing all: at least nine in ten are candidates."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(path).collect()]
+    norms = sorted({n for _, t in docs for x in (t or "").split("\n") if (n := normalise(x.encode()))})
+    asked = [n for n in norms if len(n) < 250]
+    want = {frozenset((a, b)) for a in asked for b in norms if a != b and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and similar(a, b)}
+    raw = {n: line_hashes(np.frombuffer(n.encode(), np.uint8), np.array([0, len(n.encode())])) for n in norms}
+    keys = {n: set(x[5].tolist()) for n, x in raw.items()}
+    found = [p for p in want if (lambda a, b: keys[a] & keys[b] and (int(raw[a][3][0]) ^ int(raw[b][3][0])).bit_count() <= CLOSE)(*p)]
+    assert len(want) > 20 and len(found) >= 0.9 * len(want), (len(found), len(want))
+
+
 def test_repeated_rows_and_empty_tables(spark):
     df = frame(spark, [(1, "one line of some words"), (1, "one line of some words"), (2, "one line of some words\nrest")])
     assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == [(1, "one line of some words")] * 2 + [(2, "rest")]
