@@ -287,9 +287,29 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def aligned_cost(a: list[str], b: list[str]) -> int:
+    """An upper bound of the edit distance of two lines given as words: what one
+    alignment costs that goes through both, and where words differ skips one if
+    that makes the next ones equal, else replaces."""
+    i, j, n, m, cost = 0, 0, len(a), len(b), 0
+    while i < n and j < m:
+        x, y = a[i], b[j]
+        if x == y:
+            i, j = i + 1, j + 1
+        elif i + 1 < n and a[i + 1] == y:
+            cost, i = cost + len(x) + 1, i + 1
+        elif j + 1 < m and x == b[j + 1]:
+            cost, j = cost + len(y) + 1, j + 1
+        else:
+            cost, i, j = cost + max(len(x), len(y)), i + 1, j + 1
+    return cost + sum(map(len, a[i:])) + n - i + sum(map(len, b[j:])) + m - j
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longest = max(len(a), len(b))
-    return edit_distance(a, b) <= (1 - least) * longest + 1e-9
+    """Whether the edit similarity is ``least`` or more; the cheap bound decides
+    most pairs that are, the distance itself all others."""
+    most = (1 - least) * max(len(a), len(b)) + 1e-9
+    return aligned_cost(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
 
 
 def _compare(unit: dict[str, list]) -> dict[str, list]:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from cinelake.llm import line_dedup
-from cinelake.llm.line_dedup import CLOSE, dedup_lines, edit_distance, line_hashes, normalise, similar
+from cinelake.llm.line_dedup import CLOSE, aligned_cost, dedup_lines, edit_distance, line_hashes, normalise, similar
 
 
 def table(a, b):
@@ -24,6 +24,15 @@ def test_edit_distance():
         assert edit_distance(a, b) == table(a, b)
 
 
+def test_aligned_cost_is_an_upper_bound():
+    rng = random.Random(2)
+    for _ in range(400):
+        a = rng.choices(["ab", "abc", "d", "éf"], k=rng.randint(1, 12))
+        b = [w for x in a for w in rng.choice([[x], [x], [x], [], ["new"], [x, "d"]])] or ["x"]
+        assert table(" ".join(a), " ".join(b)) <= aligned_cost(a, b)
+        assert similar(" ".join(a), " ".join(b)) == (table(" ".join(a), " ".join(b)) <= 0.2 * max(len(" ".join(a)), len(" ".join(b))) + 1e-9)
+
+
 def brute(docs):
     """Groups over all pairs of lines: equal when normalised, or similar."""
     lines = [(i, k, normalise(x.encode())) for i, t in docs if t for k, x in enumerate(t.split("\n"))]
