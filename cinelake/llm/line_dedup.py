@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import byte_view, chunks, fresh, marked, marks, may_hold, partitions, staged, text_key
-from ._groups import Forest, components, each_unit, units
+from ._groups import components, each_unit, units
 from ._words import _BASE, _INVERSE, ALNUM, FOLD, U, _powers, hash_spans, mix, rows_of, spans, table
 
 #: Most bits that SimHashes of candidates differ in.
@@ -287,19 +287,27 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def aligned_cost(a: list[str], b: list[str]) -> int:
+def aligned_cost(a: list[str], b: list[str], ahead: int = 5) -> int:
     """An upper bound of the edit distance of two lines given as words: what one
-    alignment costs that goes through both, and where words differ skips one if
-    that makes the next ones equal, else replaces."""
+    alignment costs that goes through both, and where words differ skips the fewest
+    (less than ``ahead``) after which the next ones are equal, else replaces one."""
     i, j, n, m, cost = 0, 0, len(a), len(b), 0
     while i < n and j < m:
         x, y = a[i], b[j]
         if x == y:
             i, j = i + 1, j + 1
-        elif i + 1 < n and a[i + 1] == y:
-            cost, i = cost + len(x) + 1, i + 1
-        elif j + 1 < m and x == b[j + 1]:
-            cost, j = cost + len(y) + 1, j + 1
+            continue
+        for k in range(1, ahead):
+            if i + k < n and a[i + k] == y:
+                cost, i = cost + sum(map(len, a[i : i + k])) + k, i + k
+                break
+            if j + k < m and x == b[j + k]:
+                cost, j = cost + sum(map(len, b[j : j + k])) + k, j + k
+                break
+            if i + k < n and j + k < m and a[i + k] == b[j + k]:
+                cost += max(sum(map(len, a[i : i + k])), sum(map(len, b[j : j + k]))) + k - 1
+                i, j = i + k, j + k
+                break
         else:
             cost, i, j = cost + max(len(x), len(y)), i + 1, j + 1
     return cost + sum(map(len, a[i:])) + n - i + sum(map(len, b[j:])) + m - j
@@ -316,15 +324,22 @@ def _compare(unit: dict[str, list]) -> dict[str, list]:
     """Verified links of a unit, as a spanning forest."""
     line, sim, text = unit["line"], np.array(unit["sim"], np.int64).view(U), unit["norm"]
     side, size = np.array(unit["side"]), np.array([len(t) for t in text])
-    forest = Forest(len(line))
+    top = list(range(len(line)))
+
+    def find(i):
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
     across = np.flatnonzero(side == 2)
     a, b = [], []
-    for i in np.flatnonzero(side != 2):
+    for i in np.flatnonzero(side != 2).tolist():
         j = np.arange(i + 1, len(line)) if side[i] == 0 else across
         j = j[(np.bitwise_count(sim[j] ^ sim[i]) <= CLOSE) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]) - 1e-9)]
-        for k in j:
-            if forest.label[k] != forest.label[i] and similar(text[i], text[k]):
-                forest.join(i, np.array([k]))
+        for k in j.tolist():
+            x, y = find(i), find(k)
+            if x != y and similar(text[i], text[k]):
+                top[max(x, y)] = min(x, y)
                 a.append(line[i])
                 b.append(line[k])
     return {"a": a, "b": b}
