@@ -14,23 +14,25 @@ pair of the inventory, so that a document's score is a sum of looked-up weights.
 
 Counts cover all documents and grow with them: each task sends one row for each
 distinct pair of a few million tokens, and counts are summed after one shuffle.
-Words and pairs with fewer than ``MIN_COUNT`` occurrences are not in the model;
-the limit is the same at any size of corpus, so the model grows with its input.
+Words and pairs with fewer than ``min_count`` occurrences are not in the model
+(words are then one class of rare ones); the limit is the same at any size of
+corpus, so the model grows with its input, and with 1 all that occurs is in it.
 The weights are broadcast while they are at most ``MODEL_ROWS`` (128 MB); a larger
 model is joined with each document's distinct features instead. Both ways give
-the same scores. A caller may ask for a least share of all tokens besides.
+the same scores.
 
 Defined results: words are runs of letters and digits of any script, A-Z folded;
 a null text or one without words has 0 tokens and a null score; repeated rows
 count and are scored alike; without target documents the target model is uniform
 up to smoothing; a label row counts once for a document id however often it is
-there; an empty table gives no rows.
+there; an empty table gives no rows; equal counts weigh alike, so there are no
+ties to break; very long texts are scored whole; columns of any other name pass
+through ``with_target``, where a column ``target`` is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import byte_view, chunks, marks, may_hold, partitions, staged
+from ._common import byte_view, chunks, fresh, marks, may_hold, partitions, staged
 from ._words import ALNUM, FOLD, U, hash_spans, mix, rows_of, spans
 
 MIN_COUNT = 5
@@ -122,18 +124,15 @@ class Model:
     unknown: float
 
 
-def train(docs: DataFrame, text_col: str = "text", target_col: str = "target", min_share: float = 0.0) -> Model:
+def train(docs: DataFrame, text_col: str = "text", target_col: str = "target", min_count: int = MIN_COUNT) -> Model:
     """Weights of the log-ratio target : background."""
     spark = docs.sparkSession
     counts = count_pairs(docs, text_col, target_col).repartition(partitions(spark), "word", "before")
     counts = counts.groupBy("word", "before").agg(F.sum("n").alias("n"), F.sum("nt").alias("nt"))
-    counts = staged(counts.filter(F.col("before").isNull() | (F.col("n") >= MIN_COUNT)), "counts")
+    counts = staged(counts.filter(F.col("before").isNull() | (F.col("n") >= min_count)), "counts")
     words, often = counts.filter("before is null").drop("before"), counts.filter("before is not null")
     edge = int(np.array([EDGE]).astype(np.int64)[0])
-    tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(MIN_COUNT, ceil(min_share * tokens))
-    often = often.filter(F.col("n") >= least)
-    known = (F.col("n") >= least) | (F.col("word") == edge)
+    known = (F.col("n") >= min_count) | (F.col("word") == edge)
     words = words.withColumn("known", known)
     total = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("nt"), F.lit(0)).alias("nt"),
@@ -241,11 +240,16 @@ def _score_by_join(rows: DataFrame, model: Model) -> DataFrame:
 def with_target(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with ``target``: whether the id is in ``chosen``. A bitmap of fixed
     size spares most others the shuffle."""
-    ids = staged(chosen.select(F.col(id_col).cast("long").alias("chosen_id")).filter("chosen_id is not null").distinct(), "chosen")
-    given = docs.sparkSession.sparkContext.broadcast(marks(ids, "chosen_id"))
-    rows = docs.withColumn("maybe", may_hold(given)(F.coalesce(F.col(id_col).cast("long"), F.lit(-1))))
-    some = rows.filter("maybe").join(ids, F.col(id_col) == F.col("chosen_id"), "left").withColumn("target", F.col("chosen_id").isNotNull()).drop("chosen_id", "maybe")
-    return rows.filter("not maybe").drop("maybe").withColumn("target", F.lit(False)).unionByName(some)
+    docs = docs.drop("target")
+    other, maybe = fresh(docs, "chosen_id", "maybe")
+    ids = staged(chosen.select(F.col(f"`{id_col}`").cast("long").alias(other)).filter(F.col(other).isNotNull()).distinct(), "chosen")
+    given = docs.sparkSession.sparkContext.broadcast(marks(ids, other))
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = docs.withColumn(maybe, may_hold(given)(F.coalesce(own, F.lit(-1))))
+    some = rows.filter(F.col(maybe)).join(ids, own == F.col(other), "left").withColumn("target", F.col(other).isNotNull())
+    rest = rows.filter(~F.col(maybe)).withColumn("target", F.lit(False))
+    names = [f"`{c}`" for c in [*docs.columns, "target"]]
+    return rest.select(*names).unionByName(some.select(*names))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,8 +268,7 @@ WITH d AS (
 k AS (
   SELECT doc_id, t, unnest(list_append(w, '')) AS w, unnest(list_prepend('', w)) AS h FROM d WHERE len(w) > 0),
 pair AS (SELECT h, w, count(*)::DOUBLE AS n, count(*) FILTER (t)::DOUBLE AS nt FROM k GROUP BY ALL),
-lim AS (SELECT greatest(5, ceil(2.5e-7 * sum(n))) AS least FROM pair),
-word AS (SELECT w, sum(n) AS n, sum(nt) AS nt, sum(n) >= (SELECT least FROM lim) OR w = '' AS known FROM pair GROUP BY w),
+word AS (SELECT w, sum(n) AS n, sum(nt) AS nt, sum(n) >= 5 OR w = '' AS known FROM pair GROUP BY w),
 tot AS (
   SELECT sum(n) AS n, sum(nt) AS nt, coalesce(sum(n) FILTER (NOT known), 0) AS un, coalesce(sum(nt) FILTER (NOT known), 0) AS unt,
          count(*) FILTER (known) + 1 AS v FROM word),
@@ -275,7 +278,7 @@ wt AS (
   SELECT w, known, (ct + 1) / (tnt + v) AS pt, (c + 1) / (tn + v) AS pb,
          ln((ct + 1) / (tnt + v)) - ln((c + 1) / (tn + v)) - ln(ct + 100) + ln(c + 100) AS weight FROM ww),
 pt AS (
-  SELECT h, w, ln(1 + nt / (100 * pt)) - ln(1 + n / (100 * pb)) AS fix FROM pair JOIN wt USING (w) WHERE n >= (SELECT least FROM lim) AND known),
+  SELECT h, w, ln(1 + nt / (100 * pt)) - ln(1 + n / (100 * pb)) AS fix FROM pair JOIN wt USING (w) WHERE n >= 5 AND known),
 s AS (
   SELECT doc_id, count(*) - 1 AS n_tokens, -sum(weight + coalesce(fix, 0)) / count(*) AS x
   FROM k JOIN wt USING (w) LEFT JOIN pt USING (h, w) GROUP BY doc_id)

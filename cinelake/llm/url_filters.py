@@ -1,23 +1,29 @@
 """URL filters: stated rules, and empirical-Bayes reputation of hosts.
 
-Labelled page outcomes are counted by host. Rates are shrunk level by level
+Labelled page outcomes are counted by site (the host without user info and port).
+Rates are shrunk level by level
 through beta-binomial priors: the suffix towards the rate of all pages, the
 registered domain towards its suffix, the host towards its domain. How strongly
 follows at each level from the spread of rates among siblings beyond what their
 page counts explain (method of moments), over all labelled pages. A host is
 blocked if the lower bound of its posterior bad rate is above a limit; a host
-without labels has its domain's or suffix's rate as prior and no evidence of its
-own, so its bound is wide.
+without labels has its domain's, else its suffix's, else the rate of all pages as
+prior and no evidence of its own, so its bound is wide.
 
-Counts are pre-aggregated before every shuffle, and levels shrink quickly, so a
+The suffix is the last label, or the last two where a registry sells names below
+them (``SECOND_LEVEL``); the registered domain has one label more. An address in
+numbers is its own domain and suffix.
+
+Counts are pre-aggregated before every shuffle and staged level by level, so a
 host with a third of all pages costs one partial count a task; pages join the
 table of hosts, one row a host, by a plain equi-join that adaptive execution may
 split or broadcast by its size.
 
 Defined results: a null url, or one without ``://``, has empty host and path; no
 rule fits it and its host is unknown. Repeated pages each get a row; several
-labels of a page all count; an empty table of labels allows what no rule blocks.
-Other columns of the pages are dropped but those asked for.
+labels of a page all count; an empty table of labels allows what no rule blocks;
+of rules of one length that fit, the last given wins. Very long urls are taken
+whole. Other columns of the pages are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import staged
+
 #: The contract's rules: host, path, verdict. The longest that fits wins.
 RULES = (
     ("com", "/", "allow"),
@@ -35,6 +43,17 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
+#: Suffixes of two labels below which names are registered: public ones of large
+#: registries, a fixed list that a caller may replace.
+SECOND_LEVEL = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "org.uk", "plc.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au",
+    "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "co.kr", "go.kr", "or.kr", "com.br", "gov.br", "net.br", "org.br",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.tw", "org.tw", "com.hk", "org.hk", "com.sg", "edu.sg",
+    "co.in", "gov.in", "net.in", "org.in", "co.nz", "govt.nz", "net.nz", "org.nz", "co.za", "org.za", "com.mx", "org.mx",
+    "com.ar", "com.tr", "org.tr", "co.il", "org.il", "com.ua", "com.pl", "com.es", "co.id", "co.th", "com.my", "com.ph", "com.vn",
+)
+#: An address in numbers, of four parts or in brackets.
+NUMERIC = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$|^\["
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,9 +86,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels: the registered domain under a one-label suffix."""
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host without user info and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def suffix_of(site: Column, second=SECOND_LEVEL) -> Column:
+    """What the registered domain stands under."""
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(NUMERIC), site).when(two.isin(*second), two).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(site: Column, second=SECOND_LEVEL) -> Column:
+    """The registered domain: one label more than the suffix."""
+    two = F.substring_index(site, ".", -2)
+    return F.when(site.rlike(NUMERIC), site).when(two.isin(*second), F.substring_index(site, ".", -3)).otherwise(two)
 
 
 def _rho(units: DataFrame, parents: DataFrame, unit: str, parent: str, how: Reputation) -> DataFrame:
@@ -93,70 +124,62 @@ def _rho(units: DataFrame, parents: DataFrame, unit: str, parent: str, how: Repu
     return u.crossJoin(p).select((1 / rho - 1).alias(f"k_{unit}"))  # one row each
 
 
-def _rates(outcomes: DataFrame, how: Reputation) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Hosts with their counts, shrunk rates of domains and of suffixes, and the
-    one-row table with the rate of all pages and the prior strengths."""
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+@dataclass(frozen=True)
+class Levels:
+    """Staged counts of sites, shrunk rates of domains and suffixes, and one row
+    with the rate of all pages and the prior strengths."""
+
+    sites: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    strength: DataFrame
+
+
+def levels(outcomes: DataFrame, how: Reputation) -> Levels:
+    counts = lambda rows, *by: rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    sites = outcomes.groupBy(site_of(F.col("host")).alias("site")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    sites = staged(sites.withColumns({"domain": domain_of(F.col("site")), "suffix": suffix_of(F.col("site"))}), "sites")
+    domains = staged(counts(sites, "domain", "suffix"), "domains")
+    suffixes = staged(counts(domains, "suffix"), "suffixes")
     everything = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.lit("").alias("all"))
-    strength = (
+    strength = (  # one row each
         _rho(suffixes.withColumn("all", F.lit("")), everything.filter("n > 0"), "suffix", "all", how)
-        .crossJoin(_rho(domains, suffixes, "domain", "suffix", how))
-        .crossJoin(_rho(hosts, domains.drop("suffix"), "host", "domain", how))
-        .crossJoin(everything.select(F.coalesce(F.col("bad") / F.col("n"), F.lit(0.0)).alias("rate")))
-    )
-    s = suffixes.crossJoin(F.broadcast(strength)).select(
-        "suffix", "k_domain", "k_host", ((F.col("bad") + F.col("k_suffix") * F.col("rate")) / (F.col("n") + F.col("k_suffix"))).alias("suffix_rate")
-    )
-    d = domains.join(s, "suffix").select(
-        "domain", "k_host", ((F.col("bad") + F.col("k_domain") * F.col("suffix_rate")) / (F.col("n") + F.col("k_domain"))).alias("domain_rate")
+        .crossJoin(F.broadcast(_rho(domains, suffixes, "domain", "suffix", how)))
+        .crossJoin(F.broadcast(_rho(sites, domains.drop("suffix"), "site", "domain", how)))
+        .crossJoin(F.broadcast(everything.select(F.coalesce(F.col("bad") / F.col("n"), F.lit(0.0)).alias("rate"))))
     )
-    return hosts, d, s, strength
-
-
-def _bounded(rows: DataFrame, how: Reputation) -> DataFrame:
-    """Posterior rate and its lower bound from ``n``, ``bad``, ``k_host`` and the prior ``domain_rate``."""
-    a = F.col("bad") + F.col("k_host") * F.col("domain_rate")
-    b = F.col("n") - F.col("bad") + F.col("k_host") * (1 - F.col("domain_rate"))
+    strength = staged(strength, "strength")
+    one = F.broadcast(strength)
+    s = suffixes.crossJoin(one).select("suffix", "k_domain", ((F.col("bad") + F.col("k_suffix") * F.col("rate")) / (F.col("n") + F.col("k_suffix"))).alias("suffix_rate"))
+    d = domains.join(s, "suffix").select("domain", ((F.col("bad") + F.col("k_domain") * F.col("suffix_rate")) / (F.col("n") + F.col("k_domain"))).alias("domain_rate"))
+    return Levels(sites, staged(d, "domain_rates"), staged(s.drop("k_domain"), "suffix_rates"), strength)
+
+
+def posterior(hosts: DataFrame, at: Levels, how: Reputation) -> DataFrame:
+    """``host``, ``n``, ``bad`` of its site, and the posterior ``bad_rate`` and its
+    lower ``bad_bound``, for each of ``hosts``, seen or not."""
+    rows = hosts.select("host").distinct().withColumn("site", site_of(F.col("host")))
+    rows = rows.withColumns({"domain": domain_of(F.col("site")), "suffix": suffix_of(F.col("site"))})
+    rows = rows.join(at.sites.select("site", "n", "bad"), "site", "left").join(at.domains, "domain", "left").join(at.suffixes, "suffix", "left")
+    rows = rows.crossJoin(F.broadcast(at.strength.select("k_site", "rate")))
+    n, bad, prior = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0)), F.coalesce("domain_rate", "suffix_rate", "rate")
+    a = bad + F.col("k_site") * prior
+    b = n - bad + F.col("k_site") * (1 - prior)
     mean, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return rows.select("host", "n", "bad", mean.alias("bad_rate"), (mean - how.z * sd).alias("bad_bound"))
-
-
-def host_reputation(outcomes: DataFrame, how: Reputation | None = None) -> tuple[DataFrame, DataFrame]:
-    """Posterior of each host seen in ``outcomes`` (``host``, ``bad`` 0 or 1), and
-    the one-row table with the rate of all pages and the prior strengths."""
-    how = how or Reputation()
-    hosts, d, _, strength = _rates(outcomes, how)
-    return _bounded(hosts.join(d, "domain"), how), strength
-
-
-def unseen_hosts(hosts: DataFrame, outcomes: DataFrame, how: Reputation | None = None) -> DataFrame:
-    """The same for those of ``hosts`` that ``outcomes`` lacks: no evidence of their
-    own, and the rate of the domain, else the suffix, else all pages as prior."""
-    how = how or Reputation()
-    seen, d, s, strength = _rates(outcomes, how)
-    rows = hosts.select("host").distinct().join(seen.select("host"), "host", "left_anti")
-    rows = rows.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
-    rows = rows.join(d.select("domain", "domain_rate"), "domain", "left").join(s.select("suffix", "suffix_rate"), "suffix", "left")
-    rows = rows.crossJoin(F.broadcast(strength.select("k_host", "rate"))).withColumn("domain_rate", F.coalesce("domain_rate", "suffix_rate", "rate"))
-    return _bounded(rows.withColumn("n", F.lit(0)).withColumn("bad", F.lit(0)), how)
+    return rows.select("host", n.alias("n"), bad.alias("bad"), mean.alias("bad_rate"), (mean - how.z * sd).alias("bad_bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, how: Reputation | None = None) -> DataFrame:
     """Verdict for each page (``page_id``, ``url``); ``outcomes`` has the labelled
-    pages' ``host`` and ``bad``. A host without labels is judged by the bound of its
-    prior; ``bad_bound`` is null for it, as it is no host's own."""
+    pages' ``host`` and ``bad``."""
     how = how or Reputation()
-    posterior, _ = host_reputation(outcomes, how)
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = staged(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "parts")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > how.max_bad, "block").otherwise("allow")
-    every = posterior.unionByName(unseen_hosts(rows, outcomes, how))
-    return rows.join(every, "host", "left").select(
+    every = staged(posterior(rows, levels(outcomes, how), how), "posterior")
+    return rows.join(every, "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"),
-        F.coalesce("n", F.lit(0)).alias("host_labels"), F.coalesce("bad", F.lit(0)).alias("host_bad"), F.when(F.col("n") > 0, F.round("bad_bound", 6)).alias("bad_bound"),
+        F.col("n").alias("host_labels"), F.col("bad").alias("host_bad"), F.round("bad_bound", 6).alias("bad_bound"),
     )
 
 
@@ -171,19 +194,25 @@ def op4_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge(pages, outcomes)
 
 
-OP4_SQL = r"""
+def _op4_sql() -> str:
+    """The query in DuckDB's SQL, with the same list of suffixes and limits."""
+    second = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
+    last = lambda n: f"array_to_string(string_split(site, '.')[-{n}:], '.')"
+    return rf"""
 WITH p AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
+w AS (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS site FROM p),
+names AS (
+  SELECT host, site,
+    CASE WHEN regexp_matches(site, '{NUMERIC}') THEN site WHEN {last(2)} IN ({second}) THEN {last(3)} ELSE {last(2)} END AS domain,
+    CASE WHEN regexp_matches(site, '{NUMERIC}') THEN site WHEN {last(2)} IN ({second}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM w),
 o AS (
   SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
-  FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:/|\.html|$)', 1) AS BIGINT)),
-h AS (
-  SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
-         count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM o GROUP BY host),
+  FROM p JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:/|\.html|$)', 1) AS BIGINT)),
+h AS (SELECT site, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM o JOIN names USING (host) GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 g AS (SELECT sum(n) AS n, sum(bad) AS bad FROM s),
@@ -203,12 +232,13 @@ k AS (
       THEN greatest(0.001, least(0.5, ((uss - pss) / (inner_ / total) - (units - parents)) / (total - unn - (units - parents)))) ELSE 0.5 END - 1 AS k
   FROM (SELECT 's' AS level, * FROM ks UNION ALL SELECT 'd', * FROM kd UNION ALL SELECT 'h', * FROM kh)),
 sr AS (
-  SELECT suffix, (bad + (SELECT k FROM k WHERE level = 's') * (SELECT bad / n FROM g)) / (n + (SELECT k FROM k WHERE level = 's')) AS r FROM s),
+  SELECT suffix, (bad + (SELECT k FROM k WHERE level = 's') * (SELECT bad / n FROM g)) / (n + (SELECT k FROM k WHERE level = 's')) AS suffix_rate FROM s),
 dr AS (
-  SELECT domain, (bad + (SELECT k FROM k WHERE level = 'd') * r) / (n + (SELECT k FROM k WHERE level = 'd')) AS r FROM d JOIN sr USING (suffix)),
-ab AS (
-  SELECT host, n, bad, bad + (SELECT k FROM k WHERE level = 'h') * r AS a,
-         n - bad + (SELECT k FROM k WHERE level = 'h') * (1 - r) AS b FROM h JOIN dr USING (domain)),
+  SELECT domain, (bad + (SELECT k FROM k WHERE level = 'd') * suffix_rate) / (n + (SELECT k FROM k WHERE level = 'd')) AS domain_rate FROM d JOIN sr USING (suffix)),
+prior AS (
+  SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad, coalesce(domain_rate, suffix_rate, (SELECT bad / n FROM g), 0) AS r, (SELECT k FROM k WHERE level = 'h') AS k
+  FROM names LEFT JOIN (SELECT site, n, bad FROM h) USING (site) LEFT JOIN dr USING (domain) LEFT JOIN sr USING (suffix)),
+ab AS (SELECT host, n, bad, bad + k * r AS a, n - bad + k * (1 - r) AS b FROM prior),
 post AS (
   SELECT host, n, bad, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab),
 fit AS (
@@ -218,10 +248,13 @@ fit AS (
          WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
          WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
          WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
-  FROM p LEFT JOIN post USING (host))
+  FROM p JOIN post USING (host))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict,
-       coalesce(n, 0)::BIGINT AS host_labels, coalesce(bad, 0)::BIGINT AS host_bad, round(bound, 6) AS bad_bound
+       CAST(n AS BIGINT) AS host_labels, CAST(bad AS BIGINT) AS host_bad, round(bound, 6) AS bad_bound
 FROM fit
 """
+
+
+OP4_SQL = _op4_sql()

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cinelake.llm.lm_scoring import score, train, with_target
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,12 +63,15 @@ def test_scores_equal_brute_force_both_ways(spark):
     assert max(held_out[::3]) < 0 < min(x for k, x in enumerate(held_out) if k % 3)
 
 
-def test_least_share_bounds_the_model(spark):
+def test_least_count_is_a_parameter(spark):
+    """With 1 all words and pairs are in the model; columns with names in use pass."""
     docs, chosen, df, ids = case(spark)
-    tokens = sum(n + 1 for n, x in brute(docs, chosen).values() if x is not None)
-    model = train(with_target(df, ids), min_share=11.5 / tokens)
-    close(score(df, model), brute(docs, chosen, 12))
-    assert model.rows <= 2 * tokens / 11.5 + 1
+    marked = with_target(df.withColumns({"maybe": F.lit(1), "chosen_id": F.lit(2)}), ids)
+    assert marked.columns == [*df.columns, "maybe", "chosen_id", "target"]
+    for least in (1, 12):
+        model = train(marked, min_count=least)
+        close(score(marked, model), brute(docs, chosen, least))
+        close(score(marked, model, most=0), brute(docs, chosen, least))
 
 
 def test_repeated_rows_and_empty_tables(spark):

@@ -1,6 +1,6 @@
 import math
 
-from cinelake.llm.url_filters import host_of, host_reputation, judge, path_of, unseen_hosts
+from cinelake.llm.url_filters import Reputation, domain_of, host_of, judge, levels, path_of, posterior, site_of, suffix_of
 from pyspark.sql import functions as F
 
 URLS = [
@@ -28,10 +28,11 @@ def test_parts_rules_and_verdicts(spark):
 def test_reputation_shrinks_towards_siblings(spark):
     rows = [("bad.spam.org", 1)] * 40 + [("bad.spam.org", 0)] * 2 + [("new.spam.org", 1)] + [("good.fine.org", 0)] * 60 + [("also.fine.org", 1)] + [("also.fine.org", 0)] * 30
     rows += [(f"h{i}.d{i % 5}.net", int(i % 7 == 0)) for i in range(70)]
-    posterior, strength = host_reputation(spark.createDataFrame(rows, "host string, bad int"))
-    p = {r.host: r for r in posterior.collect()}
-    k = strength.first()
-    assert all(math.isfinite(x) and x > 0 for x in (k.k_suffix, k.k_domain, k.k_host))
+    outcomes = spark.createDataFrame(rows, "host string, bad int")
+    at = levels(outcomes, Reputation())
+    p = {r.host: r for r in posterior(outcomes, at, Reputation()).collect()}
+    k = at.strength.first()
+    assert all(math.isfinite(x) and x > 0 for x in (k.k_suffix, k.k_domain, k.k_site))
     assert p["bad.spam.org"].bad_bound > 0.3
     assert p["new.spam.org"].bad_rate > p["also.fine.org"].bad_rate > 0
     assert p["new.spam.org"].bad_rate < 1 and p["good.fine.org"].bad_rate < 0.2
@@ -54,8 +55,16 @@ def test_unseen_hosts_are_judged_by_their_prior(spark):
     outcomes = spark.createDataFrame(rows, "host string, bad int")
     got = {r.page_id: r for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), outcomes).collect()}
     assert [got[i].verdict for i in range(4)] == ["block", "allow", "block", "block"]
-    assert got[0].host_labels == 0 and got[0].bad_bound is None
-    p = {r.host: r for r in unseen_hosts(spark.createDataFrame([("x.fine.zz",), ("h0.spam.org",)], "host string"), outcomes).collect()}
-    assert p.keys() == {"x.fine.zz"}
+    assert got[0].host_labels == 0 and got[0].bad_bound > 0.3
+    p = {r.host: r for r in posterior(spark.createDataFrame([("x.fine.zz",)], "host string"), levels(outcomes, Reputation()), Reputation()).collect()}
     assert math.isclose(p["x.fine.zz"].bad_rate, sum(b for _, b in rows) / len(rows))
     assert (got[4].verdict == "block") == (p["x.fine.zz"].bad_bound > 0.3)
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "u:p@x.example.com:80": ("example.com", "com"), "shop.site.co.uk": ("site.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+        "192.168.0.1:8080": ("192.168.0.1", "192.168.0.1"), "[::1]:80": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string").withColumn("site", site_of(F.col("host")))
+    assert {r[0]: (r[1], r[2]) for r in rows.select("host", domain_of(F.col("site")), suffix_of(F.col("site"))).collect()} == want
