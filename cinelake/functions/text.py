@@ -148,29 +148,12 @@ def clock(us: Column, comma: bool = False) -> Column:
 def fixed(value: Column, digits: int) -> Column:
     """A number with so many decimals: its exact binary value, half to even.
 
-    format_string rounds the shortest decimal instead, which differs at ties. The
-    fraction is taken apart into 70 bits, so the comparison with one half is exact.
+    format_number rounds so, but groups digits. Beyond 9e15 units of the last
+    decimal it would pad the shortest decimal that reads back; there, as doubles
+    are no finer, format_string gives the same.
     """
     v = value.cast("double")
-    s = F.abs(v)
-    whole = F.floor(s)
-    bits = (s - whole) * 2.0**35
-    high = F.floor(bits)
-    rest = (bits - high) * 2.0**35
-    low = F.floor(rest)
-    unit = F.lit(str(2**70)).cast("decimal(22,0)")
-    scaled = (high.cast("decimal(12,0)") * F.lit(2**35).cast("decimal(12,0)") + low.cast("decimal(12,0)")) * F.lit(10**digits).cast("decimal(4,0)")
-    part = scaled % unit
-    total = whole * 10**digits + ((scaled - part) / unit).cast("bigint")
-    twice = part * F.lit(2).cast("decimal(1,0)")
-    up = (twice > unit) | ((twice == unit) & ((rest > low) | (total % 2 == 1)))
-    total = total + up.cast("bigint")
-    text = F.lpad(total.cast("string"), digits + 1, "0") if digits else total.cast("string")
-    text = F.when(total >= 10**digits, total.cast("string")).otherwise(text)
-    if digits:
-        text = F.concat(text.substr(F.lit(1), F.length(text) - digits), F.lit("."), F.right(text, F.lit(digits)))
-    exact = F.when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
-    return F.when(s < 9e15, exact).when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
+    return F.when(F.abs(v) < 9e15 / 10**digits, F.translate(F.format_number(v, digits), ",", "")).when(v.isNotNull(), F.format_string(f"%.{digits}f", v))
 
 
 def bandwidth_text(bps: Column) -> Column:

@@ -134,13 +134,14 @@ ORACLE_SQL = {
         "('media', 1, 6, 8, 'https://example.com/b.ts', 512, 1024, 'AES-128', 'https://example.com/path/keys/one.bin', '00000000000000000000000000000006')",
         "('media', 2, 0, 0, 'https://example.com/path/c.ts', NULL, NULL, '', '', NULL)",
         "('media', 3, 100, 2.25, 'https://example.com/path/d.ts', NULL, NULL, 'NONE', '', NULL)",
-        "('live', 0, 42, 8, 'https://example.com/path/s42.ts', NULL, NULL, '', '', NULL)",
-        "('live', 1, 43, 8, 'https://example.com/path/s43.ts', NULL, NULL, '', '', NULL)",
+        "('live', 0, 901, 2.5, 'https://example.com/path/parts/first.m4s', NULL, NULL, '', '', NULL)",
+        "('live', 1, 902, 3, 'https://example.com/path/parts/second.m4s', 0, 77, '', '', NULL)",
+        "('live', 2, 903, 1.25, 'https://edge.example.net/third.m4s', NULL, NULL, '', '', NULL)",
     ),
     "q21c_hls_playlists": _rows(
         "manifest_id, is_live, refresh_ms, total_duration_s, target_duration_s, init_url, init_len",
         "('media', false, 0::DOUBLE, 19.75::DOUBLE, 10::DOUBLE, 'https://example.com/path/init.mp4', 800::BIGINT)",
-        "('live', true, 8000, 16, 8, NULL, NULL)",
+        "('live', true, 3000, 6.75, 3, NULL, NULL)",
     ),
     "q22_dash_segments": _rows(
         "stream_idx, pos, seg_index, duration_s, url",
@@ -157,13 +158,14 @@ ORACLE_SQL = {
     ),
     "q22c_mss_segments": _rows(
         "stream_idx, pos, duration_s, url",
-        *(f"(0::INT, {i}::INT, {d}::DOUBLE, 'https://example.com/v.ism/QualityLevels(2000000)/Fragments(video={t})')" for i, (t, d) in enumerate([(10000000, 2), (30000000, 2), (90000000, 1)])),
-        *(f"(1, {i}, 15, 'https://example.com/v.ism/QualityLevels(128000)/Fragments(audio={i * 150000000})')" for i in range(4)),
+        *(f"({k}::INT, {i}::INT, 1.1::DOUBLE, 'https://example.com/v.ism/QualityLevels({b})/Fragments(tal={i * 11000000})')" for k, b in enumerate((56000, 24000)) for i in range(7)),
+        *(f"(2, {i}, {d}, 'https://example.com/v.ism/QualityLevels(310000)/Fragments(bild={t})')" for i, (t, d) in enumerate([(0, 1.5), (33000000, 0.5), (38000000, 0.1)])),
     ),
     "q22d_mss_streams": _rows(
         "stream_idx, media_type, language, name, bandwidth, codecs, resolution, channels, segments_count",
-        "(0::INT, 'video', '', 'video_720p', 2000000::BIGINT, 'avc1', '1280x720', '', 3::BIGINT)",
-        "(1, 'audio', 'de', 'audio', 128000, 'mp4a.40.2', '', '2', 4)",
+        "(0::INT, 'audio', 'sv', 'tal', 56000::BIGINT, 'aach', '', '6', 7::BIGINT)",
+        "(1, 'audio', 'sv', 'tal', 24000, 'xyz9', '', '', 7)",
+        "(2, 'video', '', 'bild_270p', 310000, 'hvc1', '480x270', '', 3)",
     ),
     "q23_cues": _rows(
         "doc_id, pos, id, start_us, end_us, text, settings",
@@ -174,7 +176,7 @@ ORACLE_SQL = {
         "('ttml', 2, '', 2500000, 3500000, 'Three', '')",
     ),
     "q24_live_dedup": "SELECT DISTINCT user_id, event_type FROM events",
-    "q25_aes_round_trip": "SELECT doc_id, md5(text) AS cbc, md5(text) AS ecb, md5(encode(text)[1:1000]) AS ctr FROM documents",
+    "q25_aes_round_trip": "SELECT doc_id, md5(text) AS cbc, md5(text) AS ecb, md5(text) AS ctr, CASE WHEN text IS NOT NULL THEN text <> '' END AS changed FROM documents",
     "q26_boxes": """
         WITH b AS (SELECT doc_id, strlen(text) AS n FROM documents)
         SELECT doc_id, x.path, x.depth, x.pos, x.size, x.offset FROM (

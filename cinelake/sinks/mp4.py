@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import take
 from ..operators.ordered import concatenated, interleaved, runs
-from ..sources.boxes import box
+from ..sources.boxes import box, patched
 
 MOVIE_SCALE = 90000
 _MATRIX = bytes.fromhex("00010000" + "00" * 12 + "00010000" + "00" * 12 + "40000000")
@@ -105,7 +104,5 @@ def mux(samples: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def retracked(fragments: DataFrame, track: Column, data: str = "data") -> DataFrame:
-    """Fragments whose ``tfhd`` names another track: the four bytes after its flags."""
-    at = F.floor(F.instr(F.hex(data), "74666864") / 2)
-    patched = F.concat(take(F.col(data), 0, at + 8), number(track, 4), take(F.col(data), at + 12, F.octet_length(data)))
-    return fragments.withColumn(data, F.when(at > 0, patched).otherwise(F.col(data)))
+    """Fragments whose ``tfhd`` boxes, every one, name another track."""
+    return fragments.withColumn(data, patched(F.col(data), "tfhd", track))

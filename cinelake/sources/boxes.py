@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bits import fixed16, packed_language, take, text4, uint
 from ..schemas import BOXES
@@ -253,14 +255,30 @@ def sample_encryption(rows: DataFrame, iv_size: int = 8) -> DataFrame:
 
 
 def box(kind: Column, body: Column) -> Column:
-    """The bytes of a box."""
-    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body) + 8), 8, "0")), F.encode(kind, "ISO-8859-1"), body)
+    """The bytes of a box. The body is bound once, as boxes are nested deeply."""
+    whole = lambda b: F.concat(F.unhex(F.lpad(F.hex(F.octet_length(b) + 8), 8, "0")), F.encode(kind, "ISO-8859-1"), b)
+    return F.get(F.transform(F.array(body), whole), F.lit(0))
+
+
+def patched(data: Column, kind: str, value: Column) -> Column:
+    """A fragment whose boxes of a kind below ``moof`` have a number in the four
+    bytes after their flags; boxes are walked, so that equal bytes elsewhere stay."""
+
+    @F.pandas_udf(T.BinaryType())
+    def patch(data: pd.Series, value: pd.Series) -> pd.Series:
+        out = []
+        for d, v in zip(data, value, strict=True):
+            b = None if d is None else bytearray(d)
+            for path, _, _, (at, end) in _walk(bytes(d), 0, len(d), ()) if d is not None and not pd.isna(v) else ():
+                if path[0] == "moof" and path[-1] == kind and end - at >= 8:
+                    b[at + 4 : at + 8] = int(v).to_bytes(4, "big")
+            out.append(b if b is None else bytes(b))
+        return pd.Series(out, dtype=object)
+
+    return patch(data, value.cast("bigint"))
 
 
 def renumbered(fragments: DataFrame, by: list[str], order: list[str], data: str = "data") -> DataFrame:
-    """Fragments with their sequence numbers counted from 1 in order: the four bytes
-    after the header and flags of each one's ``mfhd``."""
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    at = F.floor(F.instr(F.hex(data), "6D666864") / 2)
-    patched = F.concat(take(F.col(data), 0, at + 8), F.unhex(F.lpad(F.hex(number), 8, "0")), take(F.col(data), at + 12, F.octet_length(data)))
-    return fragments.withColumn("sequence", number).withColumn(data, F.when(at > 0, patched).otherwise(F.col(data)))
+    """Fragments with the sequence numbers of their ``mfhd`` counted from 1 in order."""
+    rows = fragments.withColumn("sequence", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return rows.withColumn(data, patched(F.col(data), "mfhd", F.col("sequence")))

@@ -86,7 +86,8 @@ def elementary(rows: DataFrame) -> DataFrame:
         more = acc["at"] + 5 <= end
         return F.struct(F.when(more, after).otherwise(acc["at"]).alias("at"), F.when(more, F.array_append(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
 
-    found = tables.select("file_id", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, step)["out"]).alias("e")).select("file_id", "e.*")
+    steps = F.sequence(F.lit(0), F.greatest(F.floor(end / 5).cast("int"), F.lit(0)))  # an entry has five bytes at least
+    found = tables.select("file_id", F.explode(F.aggregate(steps, zero, step)["out"]).alias("e")).select("file_id", "e.*")
     codec = F.create_map(*(F.lit(x) for pair in CODECS.items() for x in pair))
     found = found.select("file_id", "pid", F.try_element_at(codec, F.col("type")).alias("codec")).filter("codec is not null")
     usual = rows.select("file_id").distinct().join(found.select("file_id").distinct(), "file_id", "left_anti")

@@ -37,3 +37,13 @@ def test_fragments_in_turn(spark):
     rows = alternated(v, a, ["f"], ["i"])
     out = concatenated(rows.withColumn("init", F.lit(b"INIT")), "data", ["f"], ["sequence"], "init").first().data
     assert bytes(out) == b"INIT" + b"".join(fragment(n) for n in (1, 2, 1, 2, 2))
+
+
+def test_every_track_header_and_nothing_else(spark):
+    box = lambda kind, body: (len(body) + 8).to_bytes(4, "big") + kind + body
+    tfhd = lambda n: box(b"tfhd", bytes(4) + n.to_bytes(4, "big"))
+    decoy = bytes.fromhex("07466686400000000000000000")  # the name from half a byte on
+    make = lambda n: box(b"free", decoy) + box(b"moof", box(b"traf", tfhd(n)) + box(b"traf", tfhd(n))) + box(b"mdat", b"tfhd" + bytes(8))
+    df = spark.createDataFrame([("f", bytearray(make(9))), ("g", None), ("h", bytearray(b"no box"))], "f string, data binary")
+    got = {r.f: r.data for r in retracked(df, F.lit(4)).collect()}
+    assert bytes(got["f"]) == make(4) and got["g"] is None and bytes(got["h"]) == b"no box"
