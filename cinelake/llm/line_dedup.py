@@ -15,7 +15,7 @@ it is joined with others:
   deletion away, which finds every pair within one edit.
 
 Lines that share a block and whose SimHashes differ in at most ``CLOSE`` bits form
-a candidate set; equal sets from several blocks are one. Sets are compared in units
+a candidate set; sets with the same least line are one. Sets are compared in units
 of bounded size, where an edit similarity of ``SIMILARITY`` or more verifies a
 link; verified links alone make components. Of each connected group the first
 occurrence stays, by document id and line number; all others go.
@@ -212,12 +212,13 @@ def _texts(docs: DataFrame, doc_marks: np.ndarray, line_marks: np.ndarray, id_co
 
 def _candidates(batches):
     """Candidate sets: for each key of the sorted rows, the lines that are close to
-    another one; a set is named by its members, so that equal sets are one."""
+    another one. A set is named by its least line, so that sets of lines that share
+    several blocks with it are one, and few pairs are compared twice."""
     empty = np.empty(0, np.int64)
     held, hot = [empty, empty, empty.view(U)], None
 
     def emit(name, line):
-        return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(line)], names=["cluster", "line"])
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(line)], names=["cluster", "line"])
 
     def sets(key, line, sim):
         near = np.zeros(len(key), bool)
@@ -230,8 +231,7 @@ def _candidates(batches):
             near[close] = near[close + step] = True
         key, line = key[near], line[near]
         first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
-        name = np.add.reduceat(mix(line.view(U)), first) if len(first) else np.empty(0, U)
-        return emit(np.repeat(mix(name), np.diff(first, append=len(key))), line)
+        return emit(np.repeat(line[first], np.diff(first, append=len(key))), line)
 
     for batch in batches:
         new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U)]
