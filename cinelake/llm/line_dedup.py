@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ._common import byte_view, chunks, fresh, marked, marks, may_hold, partitions, staged, text_key
 from ._groups import components, each_unit, units
-from ._words import _BASE, _INVERSE, ALNUM, FOLD, U, _powers, hash_spans, mix, rows_of, spans, table
+from ._words import _BASE, _INVERSE, ALNUM, FOLD, U, _powers, hash_spans, mix, rows_of, spans
 
 #: Most bits that SimHashes of candidates differ in.
 CLOSE = 18
@@ -58,7 +58,6 @@ HOT = 1024
 SALTS = mix(np.arange(1, BLOCKS * MINIMA + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 #: The four bits of a number, each in 16 bits of its own.
 LANES = np.array([sum((i >> k & 1) << 16 * k for k in range(4)) for i in range(16)], U)
-NOT_NEWLINE = ~table(0x0A)
 FOLD_DIGITS = FOLD.copy()
 FOLD_DIGITS[0x30:0x3A] = 0x30
 
@@ -100,14 +99,15 @@ def _bit_sums(h: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.
 def _lines(data: np.ndarray, offsets: np.ndarray):
     """Lines with a word: row, line number, word range; and the words."""
     s, e = spans(data, offsets, ALNUM)
-    ls, le = spans(data, offsets, NOT_NEWLINE)
-    first, upto = np.searchsorted(s, ls, "left"), np.searchsorted(s, le, "left")
+    newlines = np.flatnonzero(data == 0x0A)
+    # a line starts after a newline or with its row, and ends where the next starts
+    ls = np.union1d(newlines + 1, offsets[:-1])
+    at = np.searchsorted(s, np.append(ls, len(data)), "left")
+    first, upto = at[:-1], at[1:]
     some = upto > first
     ls, first, upto = ls[some], first[some], upto[some]
     row = rows_of(ls, offsets)
-    newlines = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data == 0x0A, out=newlines[1:])
-    return row, (newlines[ls] - newlines[offsets[row]]).astype(np.int32), first, upto, s, e
+    return row, (np.searchsorted(newlines, ls) - np.searchsorted(newlines, offsets[row])).astype(np.int32), first, upto, s, e
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray):
@@ -117,8 +117,8 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray):
     n = len(row)
     h = hash_spans(data, s, e, FOLD_DIGITS)
     words = upto - first
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = np.concatenate([[0], np.cumsum(lead[e] - lead[s])])
+    inner = np.flatnonzero((data & 0xC0) == 0x80)  # bytes within a character
+    chars = np.concatenate([[0], np.cumsum(e - s - np.searchsorted(inner, e) + np.searchsorted(inner, s))])
     size = chars[upto] - chars[first] + words - 1
     line = _sequence_hash(h, first, upto)
     if not n:
@@ -138,10 +138,9 @@ def line_hashes(data: np.ndarray, offsets: np.ndarray):
     many = np.where(short, 0, BLOCKS)
     flat = [blocks[~short].reshape(-1)]
     if short.any():  # keys of short lines, in place of the blocks
-        folded = FOLD_DIGITS[data].tobytes()
         found = []
         for i in np.flatnonzero(short):
-            text = b" ".join(folded[a:z] for a, z in zip(s[first[i] : upto[i]], e[first[i] : upto[i]], strict=True)).decode()
+            text = b" ".join(FOLD_DIGITS[data[a:z]].tobytes() for a, z in zip(s[first[i] : upto[i]], e[first[i] : upto[i]], strict=True)).decode()
             near = {text} | {text[:k] + text[k + 1 :] for k in range(len(text))}
             found.append(np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in sorted(near)], U))
             many[i] = len(near)
