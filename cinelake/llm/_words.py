@@ -68,6 +68,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
     """64-bit hashes of byte spans, sorted by start; equal bytes, equal hash."""
     out = np.empty(len(starts), U)
     size = ends - starts
+    values = BYTE_VALUES if fold is None else BYTE_VALUES[fold]
     i = 0
     while i < len(starts):
         if size[i] > LONG:
@@ -80,11 +81,8 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
         if len(long):
             j = i + int(long[0])
         lo, hi = int(starts[i]), int(ends[j - 1])
-        part = data[lo:hi]
-        if fold is not None:
-            part = fold[part]
         total = np.zeros(hi - lo + 1, U)
-        np.cumsum(BYTE_VALUES[part] * _powers(_BASE, _BLOCK + LONG)[: hi - lo], out=total[1:])
+        np.cumsum(values[data[lo:hi]] * _powers(_BASE, _BLOCK + LONG)[: hi - lo], out=total[1:])
         h = (total[ends[i:j] - lo] - total[starts[i:j] - lo]) * _powers(_INVERSE, _BLOCK + LONG)[starts[i:j] - lo]
         out[i:j] = mix(h ^ (size[i:j].astype(U) * U(0xA0761D6478BD642F)))
         i = j

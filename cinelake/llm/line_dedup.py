@@ -62,6 +62,8 @@ FOLD_DIGITS = FOLD.copy()
 FOLD_DIGITS[0x30:0x3A] = 0x30
 
 LINES = "doc_key long, doc_id long, line_no int, line long, sim long, size int, keys array<long>"
+#: Spreads line numbers over the keys of their rows.
+PLACE = 1000003
 TEXTS = "doc_key long, line_no int, line long, norm string"
 
 
@@ -96,18 +98,25 @@ def _bit_sums(h: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return count, sums
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray):
+    """Start, end, row and number of each line of rows with text."""
+    newlines = np.flatnonzero(data == 0x0A)
+    # a line starts after a newline or with its row, and ends at a newline or with its row
+    ls = np.union1d(newlines + 1, offsets[:-1])
+    ls = ls[ls < len(data)]
+    row = rows_of(ls, offsets)
+    le = np.append(ls[1:], len(data))[: len(ls)]
+    le = np.where(data[le - 1] == 0x0A, le - 1, le)
+    return ls, le, row, (np.searchsorted(newlines, ls) - np.searchsorted(newlines, offsets[row])).astype(np.int32)
+
+
 def _lines(data: np.ndarray, offsets: np.ndarray):
     """Lines with a word: row, line number, word range; and the words."""
     s, e = spans(data, offsets, ALNUM)
-    newlines = np.flatnonzero(data == 0x0A)
-    # a line starts after a newline or with its row, and ends where the next starts
-    ls = np.union1d(newlines + 1, offsets[:-1])
-    at = np.searchsorted(s, np.append(ls, len(data)), "left")
-    first, upto = at[:-1], at[1:]
+    ls, le, row, no = _cut(data, offsets)
+    first, upto = np.searchsorted(s, ls, "left"), np.searchsorted(s, le, "left")
     some = upto > first
-    ls, first, upto = ls[some], first[some], upto[some]
-    row = rows_of(ls, offsets)
-    return row, (np.searchsorted(newlines, ls) - np.searchsorted(newlines, offsets[row])).astype(np.int32), first, upto, s, e
+    return row[some], no[some], first[some], upto[some], s, e
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray):
@@ -182,10 +191,10 @@ def normalise(line: bytes) -> str:
     return b" ".join(folded[a:b] for a, b in zip(s, e, strict=True)).decode()
 
 
-def _texts(docs: DataFrame, doc_marks: np.ndarray, line_marks: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Normalised text of lines that may be wanted."""
+def _texts(docs: DataFrame, doc_marks: np.ndarray, place_marks: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """Normalised text of lines whose place may be wanted; only those are read as words."""
     sc = docs.sparkSession.sparkContext
-    of_docs, of_lines = sc.broadcast(doc_marks), sc.broadcast(line_marks)
+    of_docs, of_places = sc.broadcast(doc_marks), sc.broadcast(place_marks)
     rows = docs.select(text_key(id_col, text_col).alias("k"), F.col(f"`{text_col}`").alias("t"))
 
     def run(batches):
@@ -195,14 +204,19 @@ def _texts(docs: DataFrame, doc_marks: np.ndarray, line_marks: np.ndarray, id_co
             data, offsets = byte_view(batch.column(1))
             for lo, hi in chunks(offsets):
                 part = offsets[lo : hi + 1]
-                piece = data[part[0] : part[-1]]
-                row, no, first, upto, s, e = _lines(piece, part - part[0])
-                line = _sequence_hash(hash_spans(piece, s, e, FOLD_DIGITS), first, upto).astype(np.int64)
-                at = np.flatnonzero(marked(of_lines.value, line))
-                folded = FOLD_DIGITS[piece].tobytes()
-                norm = [b" ".join(folded[a:b] for a, b in zip(s[first[i] : upto[i]], e[first[i] : upto[i]], strict=True)).decode() for i in at]
+                piece, part = data[part[0] : part[-1]], part - part[0]
+                ls, le, row, no = _cut(piece, part)
+                at = np.flatnonzero(marked(of_places.value, keys[lo:hi][row] ^ (no.astype(np.int64) * PLACE)))
+                row, no = row[at], no[at]
+                wanted = [piece[i:j] for i, j in zip(ls[at], le[at], strict=True)]
+                text = np.concatenate([piece[:0], *wanted])
+                upto = np.concatenate([[0], np.cumsum([len(w) for w in wanted], dtype=np.int64)])
+                some, _, first, last, s, e = _lines(text, upto)
+                line = _sequence_hash(hash_spans(text, s, e, FOLD_DIGITS), first, last).astype(np.int64)
+                folded = FOLD_DIGITS[text].tobytes()
+                norm = [b" ".join(folded[a:b] for a, b in zip(s[f:g], e[f:g], strict=True)).decode() for f, g in zip(first, last, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[lo:hi][row[at]]), pa.array(no[at]), pa.array(line[at]), pa.array(norm, pa.string())],
+                    [pa.array(keys[lo:hi][row[some]]), pa.array(no[some]), pa.array(line), pa.array(norm, pa.string())],
                     names=["doc_key", "line_no", "line", "norm"],
                 )
 
@@ -354,7 +368,8 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col
         sets.join(distinct.select("line", "p.doc_key", "p.line_no", "p.sim", "p.size"), "line"),
         "members",
     )
-    texts = _texts(docs, marks(members, "doc_key"), marks(members, "line"), id_col, text_col).dropDuplicates(["line", "doc_key", "line_no"])
+    place = members.select(F.col("doc_key").bitwiseXOR(F.col("line_no").cast("long") * PLACE).alias("place"))
+    texts = _texts(docs, marks(members, "doc_key"), marks(place, "place"), id_col, text_col).dropDuplicates(["line", "doc_key", "line_no"])
     rows = units(members, "cluster", "line", "size", BUDGET).join(texts, ["line", "doc_key", "line_no"]).select("unit", "side", "line", "sim", "norm")
     return staged(each_unit(rows, _compare, "a long, b long"), "links")
 
