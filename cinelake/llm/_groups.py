@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 from ._common import partitions, staged
 
 
-#: Arrow bytes that become Python values at a time, or one row.
-PART = 1 << 20
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the least node) of each component of ``a``, ``b``.
 
@@ -81,7 +77,7 @@ def each_unit(rows: DataFrame, compare: Callable[[dict[str, list]], dict[str, li
     at = names.index("unit")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: list[pa.Table] = []
         out: list[dict[str, list]] = []
 
         def flush():
@@ -89,25 +85,22 @@ def each_unit(rows: DataFrame, compare: Callable[[dict[str, list]], dict[str, li
             out.clear()
             return merged
 
+        def finish(table: pa.Table):
+            out.append(compare(table.to_pydict()))
+
         for batch in batches:
-            step = max(1, batch.num_rows * PART // max(1, batch.nbytes))
-            for some in range(0, batch.num_rows, step):
-                part = batch.slice(some, step)
-                columns = part.to_pydict()
-                cut = (np.flatnonzero(np.diff(part.column(at).to_numpy())) + 1).tolist()
-                for lo, hi in zip([0, *cut], [*cut, part.num_rows], strict=True):
-                    if held and held["unit"][0] != columns["unit"][lo]:
-                        out.append(compare(held))
-                        held = {}
-                    if held:
-                        for k in names:
-                            held[k] += columns[k][lo:hi]
-                    else:
-                        held = {k: columns[k][lo:hi] for k in names}
+            unit = batch.column(at).to_numpy()
+            cut = np.flatnonzero(np.diff(unit)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(unit)], strict=True):
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if held and held[0].column(at)[0].as_py() != unit[lo]:
+                    finish(pa.concat_tables(held))
+                    held.clear()
+                held.append(part)
             if len(out) > 500:
                 yield _batch(flush(), target)
         if held:
-            out.append(compare(held))
+            finish(pa.concat_tables(held))
         if out:
             yield _batch(flush(), target)
 

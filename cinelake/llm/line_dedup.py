@@ -333,19 +333,8 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return aligned_cost(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
 
 
-def _compare_two(unit: dict[str, list]) -> dict[str, list]:
-    """``_compare`` for the many units of two lines, without arrays."""
-    (x, y), (s, t), (p, q) = unit["norm"], unit["sim"], unit["side"]
-    meet = p != q or p == 0
-    size = min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) - 1e-9
-    linked = meet and size and ((s ^ t) & (1 << 64) - 1).bit_count() <= CLOSE and similar(x, y)
-    return {"a": unit["line"][:1], "b": unit["line"][1:]} if linked else {"a": [], "b": []}
-
-
 def _compare(unit: dict[str, list]) -> dict[str, list]:
     """Verified links of a unit, as a spanning forest."""
-    if len(unit["line"]) == 2:
-        return _compare_two(unit)
     line, sim, text = unit["line"], np.array(unit["sim"], np.int64).view(U), unit["norm"]
     side, size = np.array(unit["side"]), np.array([len(t) for t in text])
     top = list(range(len(line)))
