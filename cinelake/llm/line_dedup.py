@@ -273,8 +273,22 @@ def _candidates(batches):
         yield sets(*held)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, with the rows of the table as bits of one number."""
+def _least(up: int, down: int, done: int, n: int, m: int) -> int:
+    """A lower bound of the distance from the table's column after ``done`` of m
+    characters: the least over its n + 1 cells of what the cell has cost and the
+    difference of the lengths that are left."""
+    width = (n + 7) // 8
+    raw = np.frombuffer(up.to_bytes(width, "little") + down.to_bytes(width, "little"), np.uint8)
+    bits = np.unpackbits(raw.reshape(2, width), axis=1, count=n, bitorder="little").view(np.int8)
+    cost = np.full(n + 1, done)
+    cost[1:] += np.cumsum(bits[0] - bits[1], dtype=np.int64)
+    return int((cost + np.abs(np.arange(n, -1, -1) - (m - done))).min())
+
+
+def edit_distance(a: str, b: str, most: float = np.inf) -> int:
+    """Levenshtein distance, with the rows of the table as bits of one number. A
+    distance above ``most`` may be given as any number above it: at some columns,
+    ``_least`` tells whether all ways go beyond."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -289,7 +303,13 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, distance = full, 0, len(a)
-    for c in b:
+    test = 1.5 * most + 16
+    for done, c in enumerate(b):
+        if done >= test:
+            least = _least(up, down, done, len(a), len(b))
+            if least > most:
+                return least
+            test = done + max(24, 1.5 * (most - least))
         eq = where.get(c, 0)
         x = (((eq & up) + up) ^ up) | eq | down
         left, right = down | (full & ~(x | up)), up & x
@@ -330,7 +350,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity is ``least`` or more; the cheap bound decides
     most pairs that are, the distance itself all others."""
     most = (1 - least) * max(len(a), len(b)) + 1e-9
-    return aligned_cost(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
+    return aligned_cost(a.split(" "), b.split(" ")) <= most or edit_distance(a, b, most) <= most
 
 
 def _compare(unit: dict[str, list]) -> dict[str, list]:

@@ -24,6 +24,17 @@ def test_edit_distance():
         assert edit_distance(a, b) == table(a, b)
 
 
+def test_edit_distance_ends_early_beyond_a_bound():
+    rng = random.Random(3)
+    for _ in range(150):
+        a = "".join(rng.choices("abcé", k=rng.randint(0, 160)))
+        b = "".join(rng.choice([x, x, x, "", "z"]) for x in a) if rng.random() < 0.5 else "".join(rng.choices("abcé", k=rng.randint(0, 160)))
+        true = table(a, b)
+        for most in (0, 3, true - 1, true, 0.2 * max(len(a), len(b))):
+            got = edit_distance(a, b, most)
+            assert got == true if true <= most else most < got <= true
+
+
 def test_aligned_cost_is_an_upper_bound():
     rng = random.Random(2)
     for _ in range(400):
