@@ -220,3 +220,38 @@ def test_counter_mode_of_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(crypto, "aes_ctr", lambda data, k, v: F.concat(F.substring(whole(data, k, v), F.lit(1), F.lit(1000)), F.substring(data, F.lit(1001), F.lit(2**31 - 1)), F.lit(b"x")))
     wrong = {r.doc_id: r.ctr for r in catalog.q25_aes_round_trip(spark, "/root/testdata/sf0.001").select("doc_id", "ctr").collect()}
     assert all(wrong[k] != right[k] for k in right if right[k] is not None)
+
+
+def test_common_encryption_in_few_small_batches(spark):
+    """Ranges against one stream by brute force, absent keys, and the plan of the query."""
+    from cinelake.plans import media
+
+    key, iv = bytes(range(16)), bytes([255] * 8)
+    rows = [(0, bytes(range(200)), key, [(3, 20), (0, 0), (5, 70)]), (1, b"short", key, [(2, 90), (1, 4)]), (2, bytes(50), key, []), (3, bytes(50), None, [(1, 2)]), (4, None, key, [(1, 2)]), (5, b"", key, None)]
+    df = spark.createDataFrame([(*r[:3], iv, r[3]) for r in rows], "i int, t binary, k binary, v binary, s array<struct<clear: int, encrypted: int>>").coalesce(1)
+    stream = bytes(spark.range(1).select(crypto.key_stream(F.lit(200), F.lit(key), F.lit(iv)).alias("x")).first().x)
+    got = {r.i: r.c and bytes(r.c) for r in df.select("i", crypto.cenc(F.col("t"), F.col("k"), F.col("v"), F.col("s")).alias("c")).collect()}
+    for i, text, k, ranges in rows:
+        want, at, used = bytearray(text or b""), 0, 0
+        for clear, size in ranges or [(0, len(want))]:
+            for j in range(size):
+                if at + clear + j < len(want):
+                    want[at + clear + j] ^= stream[used + j]
+            at, used = at + clear + size, used + size
+        assert (got[i] or b"") == (b"" if k is None else want) and (got[i] is None) == (k is None or text is None)
+
+    q = media.q53_common_encryption(spark, "/root/testdata/sf0.001")
+    assert q._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 4
+    assert q.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == crypto.BATCH != spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_chacha20_of_many_rows_at_once(spark):
+    """Rows of one batch, over the bounds of the pieces it is computed in, are as each alone."""
+    key, size = bytes(range(32)), [0, 1, 63, 64, 65, 64 * crypto.BLOCKS + 7, 200, 3]
+    rows = [(i, bytes([i]) * n, key[i:] + key[:i], bytes([i]) * (12 + 12 * (i % 2))) for i, n in enumerate(size)] + [(90, b"x", key[:31], bytes(12)), (91, b"x", key, bytes(13)), (92, None, key, bytes(12)), (93, b"x", key, None)]
+    df = spark.createDataFrame(rows, "i int, d binary, k binary, n binary").coalesce(1)
+    got = {r.i: r.x for r in df.select("i", crypto.chacha20(F.col("d"), F.col("k"), F.col("n")).alias("x")).collect()}
+    assert all(got[i] is None for i in (90, 91, 92, 93))
+    for i, d, k, n in rows[:8]:
+        alone = b"".join(crypto.chacha20_bytes(d[at : at + 64], k, n, at // 64) for at in range(0, len(d), 64 * 97))
+        assert bytes(got[i]) == crypto.chacha20_bytes(d, k, n) and all(bytes(got[i])[at : at + 64] == alone[64 * j : 64 * j + 64] for j, at in enumerate(range(0, len(d), 64 * 97)))
