@@ -48,6 +48,9 @@ MU, ALPHA = 100.0, 1.0
 MODEL_ROWS = 8_000_000
 #: Tokens counted together before their rows are sent.
 TOKENS = 4_000_000
+#: They are counted in 2**SLICE_BITS slices of their keys, one after the other, which
+#: are told apart for PIECE tokens at a time.
+SLICE_BITS, PIECE = 3, 1 << 19
 
 EDGE = U(0x5851F42D4C957F2D)  # the end of a text, and what precedes its first word
 LOW40 = U((1 << 40) - 1)
@@ -79,24 +82,33 @@ def count_pairs(docs: DataFrame, text_col: str, target_col: str) -> DataFrame:
     counts the target's."""
     rows = docs.select(F.col(text_col), F.coalesce(F.col(target_col), F.lit(False)).alias("t"))
 
+    def counted(h, b, t, alone):
+        code, _ = pd.factorize(h if alone else pair_key(h, b))
+        n, nt = np.bincount(code), np.bincount(code[t], minlength=int(code.max(initial=-1)) + 1)
+        at = np.empty(len(n), np.int64)
+        at[code] = np.arange(len(code))
+        before = pa.array(b[at].astype(np.int64), mask=np.full(len(n), alone))
+        return pa.RecordBatch.from_arrays([pa.array(h[at].astype(np.int64)), before, pa.array(n), pa.array(nt)], names=["word", "before", "n", "nt"])
+
     def run(batches):
         held: list = []
         size = 0
 
         def flush():
-            h = np.concatenate([x for x, _, _ in held])
-            b = np.concatenate([x for _, x, _ in held])
-            t = np.concatenate([x for _, _, x in held])
-            out = []
-            for key in (h, pair_key(h, b)):
-                code, _ = pd.factorize(key)
-                n, nt = np.bincount(code), np.bincount(code[t], minlength=int(code.max(initial=-1)) + 1)
-                at = np.empty(len(n), np.int64)
-                at[code] = np.arange(len(code))
-                alone = np.full(len(n), key is h)
-                out.append([pa.array(h[at].astype(np.int64)), pa.array(b[at].astype(np.int64), mask=alone), pa.array(n), pa.array(nt)])
+            """Counts of what is held, a slice of the keys at a time: equal keys are in
+            the same slice, so rows are as few and tables of keys a slice's size."""
+            h, t = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             held.clear()
-            return [pa.RecordBatch.from_arrays(x, names=["word", "before", "n", "nt"]) for x in out]
+            before = lambda at: h[at - 1] & LOW40  # noqa: E731 (each row ends with an edge, and so do all)
+            for alone in (True, False):
+                lot = np.empty(len(h), np.uint8)
+                for lo in range(0, len(h), PIECE):
+                    at = np.arange(lo, min(lo + PIECE, len(h)))
+                    lot[at] = (h[at] if alone else pair_key(h[at], before(at))) >> U(64 - SLICE_BITS)
+                for k in range(1 << SLICE_BITS):
+                    at = np.flatnonzero(lot == k)
+                    if len(at):
+                        yield counted(h[at], before(at), t[at], alone)
 
         for batch in batches:
             data, offsets = byte_view(batch.column(0))
@@ -104,12 +116,12 @@ def count_pairs(docs: DataFrame, text_col: str, target_col: str) -> DataFrame:
             for lo, hi in chunks(offsets):
                 part = offsets[lo : hi + 1]
                 h, row = _tokens(data[part[0] : part[-1]], part - part[0])
-                held.append((h, _before(h), target[lo:hi][row]))
+                held.append((h, target[lo:hi][row]))
                 size += len(h)
                 if size >= TOKENS:
                     yield from flush()
                     size = 0
-        if held:
+        if size:
             yield from flush()
 
     return rows.mapInArrow(run, PAIRS)

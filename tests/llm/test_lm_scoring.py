@@ -3,9 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cinelake.llm.lm_scoring import score, train, with_target
+from cinelake.llm.lm_scoring import count_pairs, score, train, with_target
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -90,3 +91,24 @@ def test_model_grows_with_its_input(spark):
     rare = spark.createDataFrame([(100 + i, "seldom seen", True) for i in range(5)], "doc_id long, text string, target boolean")
     model = train(filler.unionByName(rare).repartition(8))
     assert model.rows == 4 + 6  # x, seldom, seen and the edge; three pairs of either text
+
+
+def test_partial_counts_come_in_slices(spark):
+    """A task's counts leave in several batches, each pair once, as brute force has them."""
+    docs = type("Docs", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: run})()
+    rng = random.Random(5)
+    texts = [" ".join(map(str, rng.choices(range(3000), k=20_000))) for _ in range(4)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True, False] * 3)], names=["text", "t"])
+    out = list(count_pairs(docs, "text", "target")(iter([batch])))
+    rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    pairs, words, chosen = Counter(), Counter(), Counter()
+    for i, t in enumerate(texts[:4]):
+        w = t.split()
+        words.update([*w, ""])
+        pairs.update(zip(["", *w], [*w, ""], strict=True))
+        chosen.update([*w, ""] if i % 2 == 0 else [])
+    assert len({r[:2] for r in rows}) == len(rows) == len(words) + len(pairs)
+    alone = [r for r in rows if r[1] is None]
+    assert sorted(r[2] for r in alone) == sorted(words.values()) and sorted(r[2] for r in rows if r[1] is not None) == sorted(pairs.values())
+    assert sorted(r[3] for r in alone) == sorted(chosen[w] for w in words)
+    assert max(b.num_rows for b in out) < len(pairs) / 4
