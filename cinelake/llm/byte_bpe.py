@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,6 +33,8 @@ from ._words import hash_spans
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pre-tokens a worker keeps before it starts afresh.
 STORE = 400_000
+#: Ids that are decoded at once, always between rows.
+IDS = 1 << 18
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -245,6 +248,16 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     return docs.mapInArrow(run, schema)
 
 
+def _ids_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, nulls left out, and where each row starts."""
+    flat, counts = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[there], minlength=len(counts))
+        flat = flat.drop_null()
+    return flat.to_numpy(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``rows`` with ``decoded_bytes`` and ``decoded_text``; bytes of a character
     that the ids hold only in part become U+FFFD in the text alone."""
@@ -255,12 +268,13 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     def run(batches):
         bpe = codec(path)
         for batch in batches:
-            raw = []
-            for ids in batch.column(at).to_pylist():
-                ids = np.array([i for i in ids or () if i is not None], np.int64)
-                raw.append(bpe.decode(ids, np.array([len(ids)]))[0].tobytes())
-            new = [pa.array(raw, pa.binary()), pa.array([x.decode(errors="replace") for x in raw], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            ids, upto = _ids_of(batch.column(at))
+            for lo, hi in chunks(upto, IDS):
+                data, ends = bpe.decode(ids[upto[lo] : upto[hi]], np.diff(upto[lo : hi + 1]))
+                data = data.tobytes()
+                raw = [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                new = [pa.array(raw, pa.binary()), pa.array([x.decode(errors="replace") for x in raw], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *new], names=[*batch.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 

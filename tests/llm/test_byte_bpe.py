@@ -54,3 +54,30 @@ def test_offsets_and_split_characters(spark, library):
 def test_byte_table_is_a_bijection_and_empty_tables(spark):
     assert len(set(byte_characters())) == 256
     assert encode_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decode_holds_a_piece_of_a_batch_only(spark):
+    """A large batch leaves in pieces; ids never become Python objects; nulls among them are left out."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from cinelake.llm import byte_bpe
+
+    rows = type("Rows", (), {"columns": ["i", "ids"], "schema": T.StructType([]), "mapInArrow": lambda self, run, _: run})()
+    lists = [[i % 200 for i in range(k, k + 500)] for k in range(4000)] + [None, [], [65, None, 66], [None]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.int32()))], names=["i", "ids"])
+    want = byte_bpe.codec(None).decode([65, 66], [2])[0].tobytes()
+    run, sizes, seen = byte_bpe.decode(rows), [], []
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        sizes.append(out.num_rows)
+        seen += out.column(0).to_pylist()
+        last = out.column(2).to_pylist()[-4:]
+        del out
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(range(len(lists))) and max(sizes) < 1000
+    assert last == [b"", b"", want, b""]
+    assert peak < 40e6
