@@ -31,6 +31,9 @@ of one line each. Equality of normalised lines is that of their 64-bit hashes.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from math import ceil
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -280,9 +283,23 @@ def _least(up: int, down: int, done: int, n: int, m: int) -> int:
     width = (n + 7) // 8
     raw = np.frombuffer(up.to_bytes(width, "little") + down.to_bytes(width, "little"), np.uint8)
     bits = np.unpackbits(raw.reshape(2, width), axis=1, count=n, bitorder="little").view(np.int8)
-    cost = np.full(n + 1, done)
-    cost[1:] += np.cumsum(bits[0] - bits[1], dtype=np.int64)
-    return int((cost + np.abs(np.arange(n, -1, -1) - (m - done))).min())
+    rest = n - (m - done)  # of the first cell; one less for each next one
+    cost = np.cumsum(bits[0] - bits[1], dtype=np.int64)
+    cost += np.abs(np.arange(rest - 1, rest - 1 - n, -1))
+    return done + min(int(cost.min()), abs(rest))
+
+
+def _places(a: str) -> dict[str, int]:
+    """The places of each character, as bits of a number."""
+    kinds = "".join(sorted(set(a)))
+    if len(a) < 64 or len(kinds) * len(a) > 1 << 22:
+        where: dict[str, int] = defaultdict(int)
+        for i, c in enumerate(a):
+            where[c] |= 1 << i
+        return where
+    codes = np.frombuffer(a.encode("utf-32-le"), np.uint32)
+    rows = np.packbits(codes == np.frombuffer(kinds.encode("utf-32-le"), np.uint32)[:, None], axis=1, bitorder="little")
+    return defaultdict(int, zip(kinds, (int.from_bytes(r.tobytes(), "little") for r in rows), strict=True))
 
 
 def edit_distance(a: str, b: str, most: float = np.inf) -> int:
@@ -298,26 +315,24 @@ def edit_distance(a: str, b: str, most: float = np.inf) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = full, 0, len(a)
-    test = 1.5 * most + 16
-    for done, c in enumerate(b):
+    where = _places(a)
+    # bits from len(a) on are carried over from the last row and stand for nothing
+    full, up, down = (1 << len(a)) - 1, (1 << len(a)) - 1, 0
+    done, test = 0, 1.5 * most + 16
+    while done < len(b):
         if done >= test:
-            least = _least(up, down, done, len(a), len(b))
+            least = _least(up & full, down, done, len(a), len(b))
             if least > most:
                 return least
             test = done + max(24, 1.5 * (most - least))
-        eq = where.get(c, 0)
-        x = (((eq & up) + up) ^ up) | eq | down
-        left, right = down | (full & ~(x | up)), up & x
-        distance += bool(left & top) - bool(right & top)
-        left, right = (left << 1 | 1) & full, (right << 1) & full
-        v = eq | down
-        up, down = right | (full & ~(v | left)), left & v
-    return distance
+        upto = min(len(b), max(done + 1, ceil(test))) if test < len(b) else len(b)
+        for eq in map(where.__getitem__, b[done:upto]):
+            v = ((((eq & up) + up) ^ up) | eq | down) & full
+            left = (down | (full ^ (v | up))) << 1 | 1
+            up = (v & up) << 1 | (full & ~(v | left))
+            down = left & v
+        done = upto
+    return len(b) + (up & full).bit_count() - down.bit_count()
 
 
 def aligned_cost(a: list[str], b: list[str], ahead: int = 5) -> int:

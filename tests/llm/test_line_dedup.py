@@ -149,3 +149,25 @@ def test_repeated_rows_and_empty_tables(spark):
     df = frame(spark, [(1, "one line of some words"), (1, "one line of some words"), (2, "one line of some words\nrest")])
     assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == [(1, "one line of some words")] * 2 + [(2, "rest")]
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_edit_distance_of_long_lines_is_exact(spark):
+    """Against the plain table, over the sizes at which places are found in another way and tests are made."""
+    import random
+
+    from cinelake.llm.line_dedup import _places, edit_distance
+
+    rng = random.Random(12)
+    for n, letters in [(5, "ab"), (63, "abc é"), (64, "abc é"), (65, "abcdefgh 日"), (300, "abcdefgh 日本"), (300, "ab")] * 3:
+        a = "".join(rng.choices(letters, k=n))
+        b = "".join(c if rng.random() > 0.3 else rng.choice(["", "z", c + "x"]) for c in a)
+        where = _places(a)
+        assert all(where[c] == sum(1 << i for i, x in enumerate(a) if x == c) for c in {*a, "?"})
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        true = row[-1]
+        assert edit_distance(a, b) == edit_distance(a, b, true) == true
+        assert all(edit_distance(a, b, m) > m for m in range(0, true, 7))
