@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 #: Texts are cut into pieces of about this many bytes inside a Python worker,
 #: always between documents, so that temporary arrays stay small.
 CHUNK_BYTES = 1 << 20
+#: Large caches that a worker keeps from task to task; those of other operators go
+#: when a worker comes to ``lean`` work.
+HEAVY: list[Callable] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +59,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let_go(caches: bool) -> None:
+    """Give memory that is not in use back to the system: what allocators keep, and
+    what is in the caches of ``HEAVY``."""
+    if caches:
+        for cached in HEAVY:
+            cached.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable, caches: bool = True) -> Callable:
+    """``run`` (of ``mapInArrow``) for workers that are used again by other stages:
+    it starts without their caches, unless it needs them itself, and leaves no
+    freed memory behind."""
+
+    def alone(batches):
+        if caches:
+            let_go(True)
+        try:
+            yield from run(batches)
+        finally:
+            let_go(False)
+
+    return alone
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import partitions, staged
+from ._common import lean, partitions, staged
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -106,7 +106,7 @@ def each_unit(rows: DataFrame, compare: Callable[[dict[str, list]], dict[str, li
 
     target = _arrow(rows.sparkSession, schema)
     dealt = rows.repartition(partitions(rows.sparkSession), "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def _arrow(spark, schema: str) -> pa.Schema:

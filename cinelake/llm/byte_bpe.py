@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import byte_view, chunks, fresh
+from ._common import HEAVY, byte_view, chunks, fresh, lean
 from ._words import hash_spans
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -227,6 +227,9 @@ def codec(path: str | None) -> ByteBPE:
     return ByteBPE(path)
 
 
+HEAVY.append(codec)
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` and ``starts``, the byte offset of each id's bytes."""
     names = fresh(docs, "ids", "starts")
@@ -245,7 +248,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
                 new = [pa.ListArray.from_arrays(upto, pa.array(x)) for x in (ids.astype(np.int32), where)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, caches=False), schema)
 
 
 def _ids_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -276,15 +279,18 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
                 new = [pa.array(raw, pa.binary()), pa.array([x.decode(errors="replace") for x in raw], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *new], names=[*batch.schema.names, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, caches=False), schema)
 
 
-def encode_digest(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+def encode_digest(docs: DataFrame, text_col: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
     """``docs`` without its text, with ``n_tokens`` and hashes of ids and of the
-    bytes that these ids decode to."""
+    bytes that these ids decode to; ``with_ids`` adds ``ids``, so that one worker
+    and one vocabulary a task encode and decode."""
     kept = [f for f in docs.schema.fields if f.name != text_col]
     names = fresh(docs.drop(text_col), "n_tokens", "ids_sha256", "decoded_sha256")
     schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in zip(names, (T.LongType(), T.StringType(), T.StringType()), strict=True))])
+    if with_ids:
+        schema.add(*fresh(docs.drop(text_col), "ids"), T.ArrayType(T.IntegerType()))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -299,9 +305,12 @@ def encode_digest(docs: DataFrame, text_col: str = "text", path: str | None = No
                 raw, back = memoryview(ids.astype("<u4").tobytes()), memoryview(back.tobytes())
                 sha = lambda view, to: pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(to[:-1], to[1:], strict=True)], pa.string())
                 old = [c.slice(lo, hi - lo) for i, c in enumerate(batch.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*old, pa.array(counts), sha(raw, ends), sha(back, upto)], names=schema.fieldNames())
+                new = [pa.array(counts), sha(raw, ends), sha(back, upto)]
+                if with_ids:
+                    new.append(pa.ListArray.from_arrays((ends // 4).astype(np.int32), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*old, *new], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, caches=False), schema)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import byte_view, chunks, fresh, marks, may_hold, staged, text_key
+from ._common import byte_view, chunks, fresh, lean, marks, may_hold, staged, text_key
 from ._words import ALNUM, FOLD, U, hash_spans, rows_of, spans
 
 WINDOW = 10
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     names=INDEX.fieldNames(),
                 )
 
-    return staged(rows.mapInArrow(run, INDEX), "postings")
+    return staged(rows.mapInArrow(lean(run), INDEX), "postings")
 
 
 class Segment:
@@ -260,7 +260,7 @@ def search(index: DataFrame, bench: DataFrame, window: int = WINDOW, block: int
             for seg in _segments(batches):
                 yield finish(seg, _hits(seg, given.value) if given.value else {})
 
-        return index.mapInArrow(whole, RESULT)
+        return index.mapInArrow(lean(whole), RESULT)
 
     def partial(given):
         def run(batches):

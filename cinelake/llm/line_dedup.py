@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_view, chunks, fresh, marked, marks, may_hold, partitions, staged, text_key
+from ._common import byte_view, chunks, fresh, lean, marked, marks, may_hold, partitions, staged, text_key
 from ._groups import components, each_unit, units
 from ._words import _BASE, _INVERSE, ALNUM, FOLD, U, _powers, hash_spans, mix, rows_of, spans
 
@@ -183,7 +183,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["doc_key", "doc_id", "line_no", "line", "sim", "size", "keys"],
                 )
 
-    return rows.mapInArrow(run, LINES)
+    return rows.mapInArrow(lean(run), LINES)
 
 
 def normalise(line: bytes) -> str:
@@ -223,7 +223,7 @@ def _texts(docs: DataFrame, doc_marks: np.ndarray, place_marks: np.ndarray, id_c
                     names=["doc_key", "line_no", "line", "norm"],
                 )
 
-    return rows.mapInArrow(run, TEXTS)
+    return rows.mapInArrow(lean(run), TEXTS)
 
 
 def _candidates(batches):
@@ -398,7 +398,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col
     ones. ``distinct`` has ``line`` and ``p`` (its first place, SimHash and keys)."""
     keyed = distinct.select(F.explode("p.keys").alias("key"), "line", F.col("p.sim").alias("sim"))
     dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "line")
-    sets = staged(dealt.mapInArrow(_candidates, "cluster long, line long").distinct(), "sets")
+    sets = staged(dealt.mapInArrow(lean(_candidates), "cluster long, line long").distinct(), "sets")
     members = staged(
         sets.join(distinct.select("line", "p.doc_key", "p.line_no", "p.sim", "p.size"), "line"),
         "members",

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_view, chunks, marked, marks, staged, text_key
+from ._common import byte_view, chunks, lean, marked, marks, staged, text_key
 from ._groups import Forest, components, each_unit, merge_labels, units
 from ._words import ALNUM, FOLD, U, hash_spans, mix, rows_of, spans, windows
 
@@ -128,7 +128,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     names=["doc_key", "doc_id", "set_id", "n", "bands"],
                 )
 
-    return rows.mapInArrow(run, SKETCH)
+    return rows.mapInArrow(lean(run), SKETCH)
 
 
 def _sets_of(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +150,7 @@ def _sets_of(docs: DataFrame, wanted: np.ndarray, id_col: str, text_col: str) ->
                     names=["doc_key", "set_id", "shingles"],
                 )
 
-    return rows.mapInArrow(run, SETS)
+    return rows.mapInArrow(lean(run), SETS)
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE):

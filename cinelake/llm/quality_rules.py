@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import byte_view, chunks, fresh, per_row
+from ._common import byte_view, chunks, fresh, lean, per_row
 from ._words import SPACED, U, hash_spans, mix, rows_of, spans, table, windows
 
 SYMBOLS = table(*b"#*$%&|<>")
@@ -123,7 +123,7 @@ def repetition_quality(docs: DataFrame, text_col: str = "text", rules: Repetitio
                 old = [c.slice(lo, hi - lo) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*old, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: RepetitionRules | None = None) -> DataFrame:

@@ -43,9 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts that are left, with their counts and the digest of
     the text that the ids decode to."""
-    ids = byte_bpe.encode(docs.select("doc_id", "text"))
-    back = byte_bpe.decode(ids.select("doc_id", "ids"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+    return byte_bpe.encode_digest(docs.select("doc_id", "text"), with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [

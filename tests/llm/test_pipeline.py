@@ -68,3 +68,20 @@ def test_encoding_decodes_again(spark):
     want = {r.doc_id: r.text for r in docs.collect()}
     got = corpus_pipeline.encoding(spark, docs, SF).collect()
     assert {r.doc_id: r.decoded_sha256 for r in got} == {i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_workers_that_go_to_another_stage_let_go_of_the_vocabulary():
+    from cinelake.llm import byte_bpe, quality_rules  # noqa: F401
+    from cinelake.llm._common import lean
+
+    byte_bpe.codec(None)
+    assert list(lean(lambda batches: batches, caches=False)([1, 2])) == [1, 2]
+    assert byte_bpe.codec.cache_info().currsize == 1
+    assert list(lean(lambda batches: batches)([3])) == [3]
+    assert byte_bpe.codec.cache_info().currsize == 0
+
+
+def test_encoding_has_one_python_step(spark, capsys):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    corpus_pipeline.encoding(spark, docs, SF).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
