@@ -71,40 +71,59 @@ def units(members: DataFrame, group: str, node: str, size: str, budget: int) ->
     )
 
 
-def each_unit(rows: DataFrame, compare: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """``compare`` on the columns of every unit; units are streamed, many a task."""
+def each_unit(rows: DataFrame, compare: Callable, schema: str, together: int = 0) -> DataFrame:
+    """``compare`` on the columns of every unit; units are streamed, many a task.
+    With ``together``, it gets a list of units, with so many rows or characters
+    (of ``norm``) at most besides one unit."""
     names = rows.columns
     at = names.index("unit")
+    target = _arrow(rows.sparkSession, schema)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: dict[str, list] = {}
+        wait: list[dict[str, list]] = []
         out: list[dict[str, list]] = []
+        load = 0
 
         def flush():
             merged = {k: [x for o in out for x in o[k]] for k in out[0]}
             out.clear()
-            return merged
-
-        def finish(table: pa.Table):
-            out.append(compare(table.to_pydict()))
+            return _batch(merged, target)
+
+        def finish():
+            nonlocal load
+            if together:
+                wait.append(held)
+                load += sum(map(len, held["norm"])) + len(held["norm"])
+                if load >= together:
+                    out.append(compare(wait))
+                    wait.clear()
+                    load = 0
+            else:
+                out.append(compare(held))
 
         for batch in batches:
             unit = batch.column(at).to_numpy()
             cut = np.flatnonzero(np.diff(unit)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(unit)], strict=True):
-                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
-                if held and held[0].column(at)[0].as_py() != unit[lo]:
-                    finish(pa.concat_tables(held))
-                    held.clear()
-                held.append(part)
-            if len(out) > 500:
-                yield _batch(flush(), target)
+            columns = {n: c.to_pylist() for n, c in zip(names, batch.columns, strict=True)}
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(unit)], strict=True):
+                part = {n: c[lo:hi] for n, c in columns.items()}
+                if held and held["unit"][0] == part["unit"][0]:
+                    for n, c in part.items():
+                        held[n] += c
+                    continue
+                if held:
+                    finish()
+                held = part
+            if out and (together or len(out) > 500):
+                yield flush()
         if held:
-            finish(pa.concat_tables(held))
+            finish()
+        if wait:
+            out.append(compare(wait))
         if out:
-            yield _batch(flush(), target)
+            yield flush()
 
-    target = _arrow(rows.sparkSession, schema)
     dealt = rows.repartition(partitions(rows.sparkSession), "unit").sortWithinPartitions("unit")
     return dealt.mapInArrow(lean(run), schema)
 

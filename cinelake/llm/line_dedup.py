@@ -52,6 +52,12 @@ SIMILARITY = 0.8
 BUDGET = 400_000
 #: Blocks of a line, and minima in each.
 BLOCKS, MINIMA = 6, 4
+#: Characters of units whose lines are compared together, and of pairs of lines at once.
+TOGETHER, AREA = 4_000_000, 2_000_000
+#: Pairs that are worth tables side by side, such tables, and columns between looks at their costs.
+MANY, BESIDE, STEP = 24, 128, 16
+#: Pairs of a unit that wait for their distances before more are taken.
+SOME = 256
 #: Characters of a short line.
 SHORT = 9
 #: Lines of a block that are compared with each other at once; a larger block is
@@ -335,16 +341,142 @@ def edit_distance(a: str, b: str, most: float = np.inf) -> int:
     return len(b) + (up & full).bit_count() - down.bit_count()
 
 
-def aligned_cost(a: list[str], b: list[str], ahead: int = 5) -> int:
+def _packed(mask: np.ndarray) -> np.ndarray:
+    """Rows of 64 n booleans as n rows of words, in which the first is the least bit."""
+    return np.ascontiguousarray(np.packbits(mask, axis=1, bitorder="little").view(U).T)
+
+
+def _words(most: int, diff: int) -> int:
+    """Words of a pair's band, of whose bits three of eight are below its diagonal."""
+    return max((most - diff) // 2 // 24 + 1, (most + diff) // 2 // 40 + 1)
+
+
+def _banded(pairs: list[tuple[str, str]], most: list[int], words: int) -> list[int]:
+    """Distances of pairs of strings, the longer one first; ``most`` is their
+    difference in length or more, and ``_words`` of it ``words`` at most. All tables
+    go on by one column at a time, as words of bits (Hyyro's banded form), lane
+    beside lane; a lane whose pair is done goes to another.
+
+    A way of at most ``most`` steps stays within (most - diff) / 2 rows below the
+    diagonal of the last cell and (most + diff) / 2 above it. Costs never fall along
+    a diagonal, so a pair is beyond its bound as soon as that diagonal is. Pairs end
+    in equal characters up to a whole number of steps, which changes no distance.
+    """
+    bits, last = 64 * words, 40 * words - 1
+    n, m = (np.array([len(x[i]) for x in pairs]) for i in (0, 1))
+    diff, bound = n - m, np.array(most)
+    steps = -(-m // STEP)
+    codes = np.frombuffer("".join(x + y for x, y in pairs).encode("utf-32-le"), np.uint32)
+    number = np.zeros(int(codes.max()) + 1, np.uint32)
+    number[codes] = 1
+    kinds = np.flatnonzero(number)
+    number[kinds] = np.arange(2, len(kinds) + 2)  # 0 equals nothing, 1 is the character at the ends
+    code = number[codes].astype(np.uint8 if len(kinds) < 254 else np.uint32)
+    # each pair has ``bits`` more characters before its end in a than in b
+    b_first = np.cumsum(steps * STEP) - steps * STEP
+    a_first = b_first + np.arange(len(pairs)) * bits
+    a, b = np.zeros(a_first[-1] + steps[-1] * STEP + bits, code.dtype), np.ones(b_first[-1] + steps[-1] * STEP, code.dtype)
+    at = 0
+    for i, f, x, y, d, w in zip(a_first.tolist(), b_first.tolist(), n.tolist(), m.tolist(), diff.tolist(), (steps * STEP).tolist(), strict=True):
+        a[i + last - d : i + last + y] = code[at : at + x]
+        a[i + last + y : i + last + w] = 1
+        b[f : f + y] = code[at + x : at + x + y]
+        at += x + y
+    view = np.lib.stride_tricks.sliding_window_view(a, bits)
+    out, lanes, nxt = diff.copy(), np.empty(0, np.int64), 0
+    up = down = np.empty((words, 0), U)
+    word, bit = divmod(last, 64)
+    while True:
+        cost = out[lanes]
+        on = (cost <= bound[lanes]) & (steps[lanes] > 0)
+        if not on.all() or len(lanes) < BESIDE and nxt < len(pairs):
+            new = np.arange(nxt, min(len(pairs), nxt + BESIDE - int(on.sum())))
+            nxt += len(new)
+            fresh_up = _packed(np.arange(bits) >= (last - diff[new])[:, None])
+            up, down = np.hstack([up[:, on], fresh_up]), np.hstack([down[:, on], np.zeros_like(fresh_up)])
+            lanes = np.concatenate([lanes[on], new])
+            seen = np.empty((STEP, len(lanes)), U)
+        if not len(lanes):
+            return out.tolist()
+        i, k = a_first[lanes], b[b_first[lanes] + np.arange(STEP)[:, None]][:, :, None]
+        for j in range(STEP):
+            eq = _packed(view[i + j] == k[j])
+            v = eq & up
+            v += up
+            if words > 1:  # carries from word to word
+                over = v[0] < up[0]
+                for w in range(1, words):
+                    more = v[w]
+                    first = more < up[w]
+                    more += over
+                    over = first | (over & (more == 0))
+            v ^= up
+            v |= eq
+            v |= down
+            left = np.invert(v | up)
+            left |= down
+            up &= v
+            seen[j] = v[word]
+            down = v >> U(1)
+            if words > 1:
+                down[:-1] |= v[1:] << U(63)
+            up |= np.invert(down | left)
+            down &= left
+        out[lanes] += STEP - (seen >> U(bit) & U(1)).sum(axis=0).astype(np.int64)
+        a_first[lanes] += STEP
+        b_first[lanes] += STEP
+        steps[lanes] -= 1
+
+
+def edit_distances(pairs: list[tuple[str, str]], most: list[float]) -> list[int]:
+    """``edit_distance`` of each pair; those whose bands are equally wide are taken
+    together where they are many."""
+    out, left = [0] * len(pairs), defaultdict(list)
+    for i, (a, b) in enumerate(pairs):
+        if len(a) < len(b):
+            a, b = b, a
+        start, end, size = 0, 0, len(b)
+        while start < size and a[start] == b[start]:
+            start += 1
+        while end < size - start and a[-1 - end] == b[-1 - end]:
+            end += 1
+        a, b = a[start : len(a) - end], b[start : size - end]
+        if not b or len(a) - len(b) > most[i]:
+            out[i] = len(a) - len(b)
+        else:
+            bound = min(int(most[i]), len(a))
+            left[_words(bound, len(a) - len(b))].append((i, a, b, bound))
+    for words, wait in left.items():
+        wait.sort(key=lambda x: -len(x[2]))
+        lo = 0
+        while lo < len(wait):
+            hi, load = lo, 0
+            while hi < len(wait) and load < AREA:
+                load += len(wait[hi][1]) + 64 * words
+                hi += 1
+            part, lo = wait[lo:hi], hi
+            if len(part) < MANY:
+                for i, a, b, bound in part:
+                    out[i] = edit_distance(a, b, bound)
+            else:
+                for (i, *_), d in zip(part, _banded([x[1:3] for x in part], [x[3] for x in part], words), strict=True):
+                    out[i] = d
+    return out
+
+
+def aligned_cost(a: list[str], b: list[str], ahead: int = 5, most: float = np.inf) -> int:
     """An upper bound of the edit distance of two lines given as words: what one
     alignment costs that goes through both, and where words differ skips the fewest
-    (less than ``ahead``) after which the next ones are equal, else replaces one."""
+    (less than ``ahead``) after which the next ones are equal, else replaces one.
+    Above ``most`` it may end with what it has cost so far."""
     i, j, n, m, cost = 0, 0, len(a), len(b), 0
     while i < n and j < m:
         x, y = a[i], b[j]
         if x == y:
             i, j = i + 1, j + 1
             continue
+        if cost > most:
+            return cost
         for k in range(1, ahead):
             if i + k < n and a[i + k] == y:
                 cost, i = cost + sum(map(len, a[i : i + k])) + k, i + k
@@ -365,13 +497,26 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the edit similarity is ``least`` or more; the cheap bound decides
     most pairs that are, the distance itself all others."""
     most = (1 - least) * max(len(a), len(b)) + 1e-9
-    return aligned_cost(a.split(" "), b.split(" ")) <= most or edit_distance(a, b, most) <= most
-
-
-def _compare(unit: dict[str, list]) -> dict[str, list]:
-    """Verified links of a unit, as a spanning forest."""
-    line, sim, text = unit["line"], np.array(unit["sim"], np.int64).view(U), unit["norm"]
-    side, size = np.array(unit["side"]), np.array([len(t) for t in text])
+    return aligned_cost(a.split(" "), b.split(" "), most=most) <= most or edit_distance(a, b, most) <= most
+
+
+def _near(sim: np.ndarray, size: np.ndarray, side: np.ndarray):
+    """Pairs of a unit's lines that may be similar by their SimHashes and sizes."""
+    step = max(1, 4096 // len(sim))
+    for lo in range(0, len(sim), step):
+        i = np.arange(lo, min(lo + step, len(sim)))[:, None]
+        meet = np.where(side[i] == 0, np.arange(len(sim)) > i, (side[i] == 1) & (side == 2))
+        meet &= np.bitwise_count(sim[i] ^ sim) <= CLOSE
+        meet &= np.minimum(size[i], size) >= SIMILARITY * np.maximum(size[i], size) - 1e-9
+        first, second = np.nonzero(meet)
+        yield from zip((first + lo).tolist(), second.tolist(), strict=True)
+
+
+def _linked(unit: dict[str, list], a: list[int], b: list[int]):
+    """Adds verified links of a unit, as a spanning forest. Yields pairs of texts
+    whose distance decides and their bounds, and is sent the distances."""
+    line, text, size = unit["line"], unit["norm"], [len(t) for t in unit["norm"]]
+    words = [t.split(" ") for t in text]
     top = list(range(len(line)))
 
     def find(i):
@@ -379,17 +524,51 @@ def _compare(unit: dict[str, list]) -> dict[str, list]:
             top[i] = i = top[top[i]]
         return i
 
-    across = np.flatnonzero(side == 2)
-    a, b = [], []
-    for i in np.flatnonzero(side != 2).tolist():
-        j = np.arange(i + 1, len(line)) if side[i] == 0 else across
-        j = j[(np.bitwise_count(sim[j] ^ sim[i]) <= CLOSE) & (np.minimum(size[j], size[i]) >= SIMILARITY * np.maximum(size[j], size[i]) - 1e-9)]
-        for k in j.tolist():
-            x, y = find(i), find(k)
-            if x != y and similar(text[i], text[k]):
-                top[max(x, y)] = min(x, y)
-                a.append(line[i])
-                b.append(line[k])
+    def link(i, k):
+        x, y = find(i), find(k)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            a.append(line[i])
+            b.append(line[k])
+
+    def verdicts():
+        left = [x for x in wait if find(x[0]) != find(x[1])]
+        wait.clear()
+        got = yield [(text[i], text[k]) for i, k, _ in left], [x[2] for x in left]
+        for (i, k, most), d in zip(left, got, strict=True):
+            if d <= most:
+                link(i, k)
+
+    wait: list[tuple[int, int, float]] = []
+    for i, k in _near(np.array(unit["sim"], np.int64).view(U), np.array(size), np.array(unit["side"])):
+        if find(i) != find(k):
+            most = (1 - SIMILARITY) * max(size[i], size[k]) + 1e-9
+            if aligned_cost(words[i], words[k], most=most) <= most:
+                link(i, k)
+                continue
+            wait.append((i, k, most))
+            if len(wait) >= SOME:
+                yield from verdicts()
+    if wait:
+        yield from verdicts()
+
+
+def _compare(units: list[dict[str, list]]) -> dict[str, list]:
+    """Verified links of units, each as a spanning forest; distances that units
+    wait for are taken together."""
+    a: list[int] = []
+    b: list[int] = []
+    going, answers = [_linked(u, a, b) for u in units], [None] * len(units)
+    while going:
+        still, asked = [], []
+        for g, x in zip(going, answers, strict=True):
+            try:
+                asked.append(g.send(x))
+                still.append(g)
+            except StopIteration:
+                pass
+        got = iter(edit_distances([p for x, _ in asked for p in x], [m for _, x in asked for m in x]))
+        going, answers = still, [[next(got) for _ in x] for x, _ in asked]
     return {"a": a, "b": b}
 
 
@@ -406,7 +585,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col
     place = members.select(F.col("doc_key").bitwiseXOR(F.col("line_no").cast("long") * PLACE).alias("place"))
     texts = _texts(docs, marks(members, "doc_key"), marks(place, "place"), id_col, text_col).dropDuplicates(["line", "doc_key", "line_no"])
     rows = units(members, "cluster", "line", "size", BUDGET).join(texts, ["line", "doc_key", "line_no"]).select("unit", "side", "line", "sim", "norm")
-    return staged(each_unit(rows, _compare, "a long, b long"), "links")
+    return staged(each_unit(rows, _compare, "a long, b long", TOGETHER), "links")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

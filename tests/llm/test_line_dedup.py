@@ -171,3 +171,47 @@ def test_edit_distance_of_long_lines_is_exact(spark):
         true = row[-1]
         assert edit_distance(a, b) == edit_distance(a, b, true) == true
         assert all(edit_distance(a, b, m) > m for m in range(0, true, 7))
+
+
+def test_distances_side_by_side(monkeypatch):
+    rng = random.Random(6)
+    pairs, most, true = [], [], []
+    for kinds in ("abcé", "".join(map(chr, range(0x4E00, 0x4F90)))):
+        for _ in range(60):
+            a = "".join(rng.choices(kinds, k=rng.randint(0, 200)))
+            b = "".join(rng.choice([x] * rng.choice([2, 9]) + ["", "z", x + "q"]) for x in a) if rng.random() < 0.8 else "".join(rng.choices(kinds, k=rng.randint(0, 160)))
+            pairs.append((a, b))
+            true.append(table(a, b))
+            most.append(rng.choice([0, 3, true[-1] - 1, true[-1], 0.2 * max(len(a), len(b)) + 1e-9]))
+    for lanes in (3, 128):
+        monkeypatch.setattr(line_dedup, "MANY", 1)
+        monkeypatch.setattr(line_dedup, "BESIDE", lanes)
+        for got, want, bound in zip(line_dedup.edit_distances(pairs, most), true, most, strict=True):
+            assert got == want if want <= bound else got > bound
+
+
+def test_units_compared_together_have_the_components_of_all_pairs(monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdef", k=rng.randint(2, 6))) for _ in range(60)]
+    units, want = [], []
+    for u in range(30):
+        base = [" ".join(rng.choices(words, k=12)) for _ in range(2)]
+        text = [" ".join(rng.choice(words) if rng.random() < 0.12 else w for w in rng.choice(base).split(" ")) for _ in range(rng.randint(2, 9))]
+        side = [0] * len(text) if u % 2 else [1] + [rng.choice([1, 2]) for _ in text[1:]]
+        line = list(range(100 * u, 100 * u + len(text)))
+        units.append({"line": line, "sim": [0] * len(text), "norm": text, "side": side})
+        want += [(i, k) for x, i in enumerate(line) for y, k in enumerate(line) if (x < y if not side[x] else side[x] == 1 and side[y] == 2) and similar(text[x], text[y])]
+
+    def components(edges):
+        label = {x: x for u in units for x in u["line"]}
+        for i, k in edges:
+            label = {x: min(label[i], label[k]) if y in (label[i], label[k]) else y for x, y in label.items()}
+        return label
+
+    for some in (1, 256):
+        monkeypatch.setattr(line_dedup, "MANY", 1)
+        monkeypatch.setattr(line_dedup, "SOME", some)
+        got = line_dedup._compare(units)
+        edges = list(zip(got["a"], got["b"], strict=True))
+        assert components(edges) == components(want)
+        assert len(edges) == sum(len(u["line"]) for u in units) - len(set(components(want).values()))
