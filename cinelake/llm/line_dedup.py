@@ -63,6 +63,11 @@ SHORT = 9
 #: Lines of a block that are compared with each other at once; a larger block is
 #: a candidate set as a whole, to be cut into units.
 HOT = 1024
+#: Keys that are dealt at once, buckets that a partition has of them, and keys of a
+#: bucket that are held before frequent ones leave.
+DEALT, BUCKETS, HELD = 1 << 19, 4, 1 << 21
+#: Kinds of characters that are counted apart for a bound of the edit distance.
+KINDS = 64
 
 SALTS = mix(np.arange(1, BLOCKS * MINIMA + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 #: The four bits of a number, each in 16 bits of its own.
@@ -70,7 +75,7 @@ LANES = np.array([sum((i >> k & 1) << 16 * k for k in range(4)) for i in range(1
 FOLD_DIGITS = FOLD.copy()
 FOLD_DIGITS[0x30:0x3A] = 0x30
 
-LINES = "doc_key long, doc_id long, line_no int, line long, sim long, size int, keys array<long>"
+LINES = "doc_key long, doc_id long, line_no int, line long, sim long, size int, keys binary"
 #: Spreads line numbers over the keys of their rows.
 PLACE = 1000003
 TEXTS = "doc_key long, line_no int, line long, norm string"
@@ -184,7 +189,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.take(at), ids.take(at), pa.array(no), pa.array(line.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(size),
-                        pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat.view(np.int64))),
+                        pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((8 * upto).astype(np.int32)), pa.py_buffer(flat)]),
                     ],
                     names=["doc_key", "doc_id", "line_no", "line", "sim", "size", "keys"],
                 )
@@ -232,6 +237,100 @@ def _texts(docs: DataFrame, doc_marks: np.ndarray, place_marks: np.ndarray, id_c
     return rows.mapInArrow(lean(run), TEXTS)
 
 
+def _dealt(buckets: int):
+    """Deals the keys of ``line``, ``sim`` and ``keys`` into buckets, by key: rows of a
+    bucket and its triples of key, line and SimHash, as bytes. A row of Spark's own
+    for each key costs several times as much. A line counts once in what is dealt at
+    once, so one that is everywhere is no load."""
+
+    def run(batches):
+        held, load = [], 0
+
+        def deal():
+            line, sim, many, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            once = ~pd.Series(line).duplicated().to_numpy(bool)
+            key = flat[np.repeat(once, many)]
+            line, sim = (np.repeat(x[once], many[once]) for x in (line, sim))
+            bucket = ((key.view(U) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            triples = np.stack([key[order], line[order], sim[order]], axis=1)
+            count = np.bincount(bucket, minlength=buckets)
+            some = np.flatnonzero(count)
+            upto = np.concatenate([[0], np.cumsum(24 * count[some])]).astype(np.int32)
+            rows = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(upto), pa.py_buffer(triples)])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), rows], names=["bucket", "rows"])
+
+        for batch in batches:
+            flat, upto = byte_view(batch.column(2))
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(upto) // 8, flat.view(np.int64)))
+            load += len(flat) // 8
+            if load >= DEALT:
+                yield deal()
+                load = 0
+        if load:
+            yield deal()
+
+    return run
+
+
+def _in_order(triples: np.ndarray) -> np.ndarray:
+    """Triples by key and line, each line once for a key."""
+    triples = triples[np.lexsort((triples[:, 1], triples[:, 0]))]
+    once = np.ones(len(triples), bool)
+    once[1:] = (triples[1:, :2] != triples[:-1, :2]).any(axis=1)
+    return triples[once]
+
+
+def _sets(batches):
+    """Candidate sets of what ``_dealt`` made, sorted by bucket. Besides the keys of one
+    bucket that are not too frequent, a bounded number of triples is held."""
+    held, load, most, hot, now = [], 0, HELD, np.empty(0, np.int64), None
+
+    def emit(triples):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(triples[:, k])) for k in (0, 1)], names=["cluster", "line"])
+
+    def last():
+        triples = np.concatenate(held)
+        order = np.argsort(triples[:, 0])
+        key = triples[order, 0]
+        twin = np.zeros(len(key) + 1, bool)
+        twin[1:-1] = key[1:] == key[:-1]
+        triples = _in_order(triples[order[twin[1:] | twin[:-1]]])  # keys of one line alone make no set
+        names = ["key", "line", "sim"]
+        yield from _candidates([pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in triples.T], names=names)])
+
+    for batch in batches:
+        data, offsets = byte_view(batch.column(1))
+        triples, upto = data.view(np.int64).reshape(-1, 3), (offsets // 24).tolist()
+        for bucket, lo, hi in zip(batch.column(0).to_pylist(), upto, upto[1:], strict=False):
+            if bucket != now:
+                if held:
+                    yield from last()
+                held, load, most, hot, now = [], 0, HELD, hot[:0], bucket
+            part = triples[lo:hi]
+            if len(hot):
+                much = np.isin(part[:, 0], hot)
+                if much.any():
+                    yield emit(part[much])
+                    part = part[~much]
+            held.append(part)
+            load += len(part)
+            if load > most:
+                part = _in_order(np.concatenate(held))
+                first = np.flatnonzero(np.diff(part[:, 0], prepend=part[0, 0] - 1))
+                count = np.diff(first, append=len(part))
+                much = np.repeat(count > HOT, count)
+                if much.any():
+                    yield emit(part[much])
+                hot = np.union1d(hot, part[first[count > HOT], 0])
+                held = [part[~much]]
+                load = len(held[0])
+                most = max(HELD, 2 * load)
+    if held:
+        yield from last()
+
+
 def _candidates(batches):
     """Candidate sets: for each key of the sorted rows, the lines that are close to
     another one. A set is named by its least line, so that sets of lines that share
@@ -500,39 +599,60 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return aligned_cost(a.split(" "), b.split(" "), most=most) <= most or edit_distance(a, b, most) <= most
 
 
-def _near(sim: np.ndarray, size: np.ndarray, side: np.ndarray):
-    """Pairs of a unit's lines that may be similar by their SimHashes and sizes."""
+def _kinds(texts: list[str]) -> np.ndarray:
+    """Numbers of characters of each of ``KINDS`` kinds in each text."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.repeat(np.arange(len(texts)) * KINDS, size) + codes % KINDS
+    return np.bincount(at, minlength=len(texts) * KINDS).reshape(-1, KINDS).astype(np.int32)
+
+
+def _near(sim: np.ndarray, size: np.ndarray, side: np.ndarray, kinds: np.ndarray, label: np.ndarray):
+    """Pairs of a unit's lines that may be similar by their SimHashes, sizes and
+    characters, and whose labels are not equal by the time they are looked for. A step
+    of an edit changes the sum of the differences of ``kinds`` by two at most, and by
+    one if it changes the size."""
     step = max(1, 4096 // len(sim))
     for lo in range(0, len(sim), step):
         i = np.arange(lo, min(lo + step, len(sim)))[:, None]
         meet = np.where(side[i] == 0, np.arange(len(sim)) > i, (side[i] == 1) & (side == 2))
         meet &= np.bitwise_count(sim[i] ^ sim) <= CLOSE
-        meet &= np.minimum(size[i], size) >= SIMILARITY * np.maximum(size[i], size) - 1e-9
+        meet &= label[i] != label
         first, second = np.nonzero(meet)
-        yield from zip((first + lo).tolist(), second.tolist(), strict=True)
-
-
-def _linked(unit: dict[str, list], a: list[int], b: list[int]):
+        first += lo
+        a, b = size[first], size[second]
+        most = (1 - SIMILARITY) * np.maximum(a, b) + 1e-9
+        fit = np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9
+        first, second, most = first[fit], second[fit], most[fit]
+        for at in range(0, len(first), 1024):
+            i, k = first[at : at + 1024], second[at : at + 1024]
+            apart = np.abs(kinds[i] - kinds[k]).sum(axis=1) + np.abs(size[i] - size[k])
+            fit = apart <= 2 * most[at : at + 1024]
+            yield from zip(i[fit].tolist(), k[fit].tolist(), strict=True)
+
+
+def _linked(unit: dict[str, list], kinds: np.ndarray, a: list[int], b: list[int]):
     """Adds verified links of a unit, as a spanning forest. Yields pairs of texts
     whose distance decides and their bounds, and is sent the distances."""
     line, text, size = unit["line"], unit["norm"], [len(t) for t in unit["norm"]]
-    words = [t.split(" ") for t in text]
-    top = list(range(len(line)))
-
-    def find(i):
-        while top[i] != i:
-            top[i] = i = top[top[i]]
-        return i
+    words: list[list[str] | None] = [None] * len(line)
+    label = np.arange(len(line))
+    group = {i: [i] for i in range(len(line))}
+    top = list(range(len(line)))  # the same as label, quicker to read
 
     def link(i, k):
-        x, y = find(i), find(k)
+        x, y = sorted((top[i], top[k]), key=lambda r: len(group[r]))
         if x != y:
-            top[max(x, y)] = min(x, y)
+            moved = group.pop(x)
+            group[y] += moved
+            label[moved] = y
+            for m in moved:
+                top[m] = y
             a.append(line[i])
             b.append(line[k])
 
     def verdicts():
-        left = [x for x in wait if find(x[0]) != find(x[1])]
+        left = [x for x in wait if top[x[0]] != top[x[1]]]
         wait.clear()
         got = yield [(text[i], text[k]) for i, k, _ in left], [x[2] for x in left]
         for (i, k, most), d in zip(left, got, strict=True):
@@ -540,8 +660,11 @@ def _linked(unit: dict[str, list], a: list[int], b: list[int]):
                 link(i, k)
 
     wait: list[tuple[int, int, float]] = []
-    for i, k in _near(np.array(unit["sim"], np.int64).view(U), np.array(size), np.array(unit["side"])):
-        if find(i) != find(k):
+    for i, k in _near(np.array(unit["sim"], np.int64).view(U), np.array(size), np.array(unit["side"]), kinds, label):
+        if top[i] != top[k]:
+            for x in (i, k):
+                if words[x] is None:
+                    words[x] = text[x].split(" ")
             most = (1 - SIMILARITY) * max(size[i], size[k]) + 1e-9
             if aligned_cost(words[i], words[k], most=most) <= most:
                 link(i, k)
@@ -558,7 +681,9 @@ def _compare(units: list[dict[str, list]]) -> dict[str, list]:
     wait for are taken together."""
     a: list[int] = []
     b: list[int] = []
-    going, answers = [_linked(u, a, b) for u in units], [None] * len(units)
+    kinds = _kinds([t for u in units for t in u["norm"]])
+    upto = np.cumsum([0, *(len(u["norm"]) for u in units)]).tolist()
+    going, answers = [_linked(u, kinds[i:k], a, b) for u, i, k in zip(units, upto, upto[1:], strict=False)], [None] * len(units)
     while going:
         still, asked = [], []
         for g, x in zip(going, answers, strict=True):
@@ -572,12 +697,14 @@ def _compare(units: list[dict[str, list]]) -> dict[str, list]:
     return {"a": a, "b": b}
 
 
-def links(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, lines: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a`` and ``b``: pairs of distinct lines that connect each group of similar
-    ones. ``distinct`` has ``line`` and ``p`` (its first place, SimHash and keys)."""
-    keyed = distinct.select(F.explode("p.keys").alias("key"), "line", F.col("p.sim").alias("sim"))
-    dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "line")
-    sets = staged(dealt.mapInArrow(lean(_candidates), "cluster long, line long").distinct(), "sets")
+    ones. ``lines`` has each ``line`` once or more often, with its SimHash and keys;
+    ``distinct`` has it once, with ``p``, its first place."""
+    n = partitions(docs.sparkSession)
+    keyed = lines.select("line", "sim", "keys").mapInArrow(lean(_dealt(BUCKETS * n)), "bucket int, rows binary")
+    dealt = keyed.repartition(n, "bucket").sortWithinPartitions("bucket")
+    sets = staged(dealt.mapInArrow(lean(_sets), "cluster long, line long").distinct(), "sets")
     members = staged(
         sets.join(distinct.select("line", "p.doc_key", "p.line_no", "p.sim", "p.size"), "line"),
         "members",
@@ -593,14 +720,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document that loses any."""
     lines = staged(_hashed(docs, id_col, text_col), "lines")
     # the first place of each line, and what depends on the line alone
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no", "doc_key", "sim", "size", "keys")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no", "doc_key", "sim", "size")
     distinct = staged(lines.groupBy("line").agg(F.min(place).alias("p"), F.count("*").alias("n")), "distinct")
-    label = components(links(docs, distinct, id_col, text_col))
+    label = components(links(docs, lines, distinct, id_col, text_col))
     where = distinct.select("line", "n", F.struct("p.n", "p.doc_id", "p.line_no", "p.doc_key").alias("place"))
-    grouped = staged(label.join(where, F.col("node") == F.col("line")).select("line", "root", "place"), "grouped")
+    # lines that are in a group or more often than once
+    known = staged(where.join(label.withColumnRenamed("node", "line"), "line", "left").filter("n > 1 or root is not null"), "known")
+    grouped = known.filter("root is not null")
     first = staged(grouped.groupBy("root").agg(F.min("place").alias("keep")), "first")
-    grouped = grouped.join(first, "root").select("line", "keep")
-    kept = where.join(grouped, "line", "left").filter("n > 1 or keep is not null").select("line", F.coalesce("keep", "place").alias("keep"))
+    kept = known.filter("root is null").select("line", F.col("place").alias("keep")).unionByName(grouped.join(first, "root").select("line", "keep"))
     kept = staged(kept, "kept")  # so that the join with a hot line's occurrences can be split
     here = (F.col("doc_key") == F.col("keep.doc_key")) & (F.col("line_no") == F.col("keep.line_no"))
     gone = lines.select("line", "doc_key", "line_no").join(kept, "line").filter(~here).select("doc_key", "line_no")

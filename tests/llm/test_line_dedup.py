@@ -215,3 +215,54 @@ def test_units_compared_together_have_the_components_of_all_pairs(monkeypatch):
         edges = list(zip(got["a"], got["b"], strict=True))
         assert components(edges) == components(want)
         assert len(edges) == sum(len(u["line"]) for u in units) - len(set(components(want).values()))
+
+
+def test_keys_are_dealt_as_a_row_a_bucket_and_make_the_same_sets(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-(2**63), 2**63, 400)
+    lines = []
+    for line in rng.integers(-(2**63), 2**63, 600).tolist():
+        own = set(rng.choice(keys, 3).tolist()) | ({int(keys[0])} if rng.random() < 0.3 else set()) | {line ^ 1}
+        lines.append((line, int(rng.choice([0, 7, -1])), sorted(own)))
+    rows = [lines[i] for i in [*range(600), *rng.integers(0, 600, 300).tolist(), *[3] * 100]]  # repeated lines
+    want = {}
+    monkeypatch.setattr(line_dedup, "HOT", 40)
+    for key in {k for x in lines for k in x[2]}:
+        of = sorted((line, sim) for line, sim, own in lines if key in own)
+        close = [a for a, s in of if any(a != b and ((s ^ t) & (1 << 64) - 1).bit_count() <= CLOSE for b, t in of)]
+        if len(of) > 40:
+            want.setdefault(key, set()).update(a for a, _ in of)
+        elif close:
+            want.setdefault(close[0], set()).update(close)
+    assert max(map(len, want.values())) > 150
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([x[0] for x in p]), pa.array([x[1] for x in p]), pa.array([np.array(x[2]).tobytes() for x in p])], names=["line", "sim", "keys"])
+        for p in (rows[lo : lo + 130] for lo in range(0, len(rows), 130))
+    ]
+    for at_once, held in ((1 << 19, 1 << 21), (300, 1 << 21), (300, 50)):
+        monkeypatch.setattr(line_dedup, "DEALT", at_once)
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        dealt = [(b, r) for batch in line_dedup._dealt(8)(iter(batches)) for b, r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        assert len(dealt) == 8 if at_once > 1000 else 8 < len(dealt) <= 8 * 8
+        dealt.sort(key=lambda x: x[0])
+        for size in (1, 5, 100):
+            got = {}
+            parts = [dealt[lo : lo + size] for lo in range(0, len(dealt), size)]
+            parts = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in p], pa.int32()), pa.array([r for _, r in p])], names=["bucket", "rows"]) for p in parts]
+            for batch in line_dedup._sets(iter(parts)):
+                for cluster, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    got.setdefault(cluster, set()).add(line)
+            assert got == want
+
+
+def test_pairs_that_cannot_be_similar_are_not_compared():
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh é日", k=60)) for _ in range(4)]
+    text = ["".join(rng.choice([c] * 9 + ["", "z", c + "x"]) for c in rng.choice(base)) for _ in range(40)] + ["0123456789 " * 5, "ABCDEFGHIJ " * 5]
+    sim, size, side = np.zeros(len(text), np.uint64), np.array([len(t) for t in text]), np.zeros(len(text), int)
+    kinds, label = line_dedup._kinds(text), np.arange(len(text))
+    got = set(line_dedup._near(sim, size, side, kinds, label))
+    want = {(i, k) for k in range(len(text)) for i in range(k) if similar(text[i], text[k])}
+    assert want <= got and not any(k >= 40 for _, k in got)
+    label[: len(text) // 2] = 0  # what is one group is not looked at again
+    assert set(line_dedup._near(sim, size, side, kinds, label)) == {(i, k) for i, k in got if label[i] != label[k]}
